@@ -86,3 +86,15 @@ def utf8_rows(column):
     nulls = column.is_null().to_numpy(zero_copy_only=False)
     for i in range(len(column)):
         yield b"" if nulls[i] else whole[at[i] : at[i + 1]]
+
+
+def small_batches(batches, column: int, most: int = 4 << 20):
+    """Arrow batches cut so that a string column has about ``most`` bytes in each, and one row at least."""
+    for batch in batches:
+        _, at = byte_offsets(batch.column(column))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+            last = min(last, batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last

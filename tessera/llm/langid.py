@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import byte_offsets
+from tessera.llm.common import byte_offsets, small_batches
 
 CODES = 32**3
 
@@ -76,7 +76,7 @@ def _texts_without_letters(column, at: np.ndarray, classes: np.ndarray) -> np.nd
 
 def _sparse_vectors(batches):
     """(lang, codes, counts) of each text."""
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         codes, at, _ = _codes(batch.column(1))
         rows, counts = [], []
         for a, b in zip(at[:-1], at[1:]):
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of fixed width
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             langs, score, rejected = predict(batch.column(1), shared.value, reject_share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -194,7 +194,7 @@ def keep_identified(docs: DataFrame, model: Centroids | None, text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, at):
             _, _, rejected = predict(batch.column(at), shared.value, reject_share)
             yield batch.filter(pa.array(~np.asarray(rejected, bool)))
 
