@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, licenses, linedup, quality, secrets, sharding, simhash
+from tessera.llm import decontaminate, langid, licenses, linedup, quality, repeats, secrets, sharding, simhash
 from tessera.llm.common import read_table
 
 
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less every byte of a 400-byte string that also starts elsewhere."""
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes; equal texts stay together."""
     placed = sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=16)
@@ -72,6 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
