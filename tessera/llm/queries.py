@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, licenses, linedup, quality, repeats, secrets, sharding, simhash
+from tessera.llm import decontaminate, langid, licenses, linedup, mixing, quality, repeats, secrets, sharding, simhash
 from tessera.llm.common import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, fitted rate and number of copies of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model, _, table = mixing.fit(docs, labels, mixing.label_domain(), mixing.TARGETS)
+    place = {d: i for i, d in enumerate(model.domains)} if model else {}
+    p = [(F.get("p", F.lit(place[d])) if d in place else F.lit(0.0)).alias(f"p_{d}") for d in mixing.TARGETS]
+    return table.select("doc_id", F.col("tokens").alias("n_tokens"), *p, "rate", "copies")
+
+
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents less every byte of a 400-byte string that also starts elsewhere."""
     found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
@@ -79,6 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_repeated_substrings": op2_repeated_substrings,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
