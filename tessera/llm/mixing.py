@@ -188,8 +188,11 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     if model is None or not rates.steps:
         return docs
     rows = with_posteriors(docs, model, text_col)
-    rows = rows.withColumn("__copies", draws(id_col, text_col, rate_of(F.col("__p"), rates)))
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = rows.withColumn("__rate", rate_of(F.col("__p"), rates)).withColumn("__copies", draws(id_col, text_col, F.col("__rate")))
+    # Rows without a copy go after the explode: a condition on the copies themselves would be
+    # pushed below every step above, with all of them written out in it.
+    rows = rows.withColumn("__copy", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))))
+    return rows.where(F.col("__copy").isNotNull()).select(*docs.columns)
 
 
 #: Shares of tokens that the registered query and the pipeline aim at, by domain of the labels table.

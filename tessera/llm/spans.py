@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 def match_spans(text: Column, pattern: Column | str, size: Callable[[Column], Column] = F.length, group: int | None = None) -> Column:
     """Array of (start, end, hit, value) of the leftmost non-overlapping matches.
 
-    Each match is extracted with what precedes it, so lengths add up to places; ``size``
-    measures a piece (code points by default). pattern: its groups are numbered from 3 on
+    Each match is extracted with what precedes it, so lengths add up to places; it must begin
+    where the one before ended, or the text's tail would be searched from each of its places.
+    ``size`` measures a piece (code points by default). pattern: its groups are numbered from 3 on
     in ``group``, whose content becomes value. The pattern must not match the empty text.
     """
-    whole = F.concat(F.lit("(?s)(.*?)("), F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(")"))
+    whole = F.concat(F.lit(r"\G((?s:.*?))("), F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(")"))
     before, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     values = F.regexp_extract_all(text, whole, F.lit(group)) if group else hits
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string,value:string>>)").alias("spans"))
