@@ -116,8 +116,12 @@ def decontaminate_ids(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     """(__id, __th) of the contaminated documents."""
     found = find_matches(docs, benchmark, width, rarest, slop, broadcast_rows, id_col, text_col).where("exact")
     found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "window")).alias("phrases"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "phrases")
-    rows = docs.withColumn("th", F.xxhash64(text_col)).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "phrases"), "candidates")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    rows = docs.withColumn("th", F.xxhash64(text_col))
+    if (n := found.count()) <= broadcast_rows:  # else every text is shuffled to meet them
+        rows = rows.join(_sized(found.select("__id", "__th"), n, broadcast_rows), same, "left_semi")
+    rows = rows.join(found, same)
     rows = rows.select("__id", "__th", "phrases", _words(F.col(text_col)).alias("words"))
     hits = F.filter("phrases", lambda p: F.slice("words", p["at"] + 1, F.size(p["window"])) == p["window"])
     covered = F.size(F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(p["at"], p["at"] + F.size(p["window"]) - 1)))))

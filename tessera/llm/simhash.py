@@ -240,7 +240,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(near_duplicates(docs, id_col, text_col, budget), "near-duplicates")
     keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
     keep = materialize(keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    stay = docs.join(keep.where("n = 1").select(F.col("doc_id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+    # Most ids stay, so they are as many as the documents: merged at every size, never broadcast.
+    stay = docs.join(keep.where("n = 1").select(F.col("doc_id").alias("__kept")).hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi")
     again = keep.where("n > 1").select(F.col("doc_id").alias("__kept"))
     if again.isEmpty():
         return stay
