@@ -161,14 +161,14 @@ class Query:
 
     def _attach_fixed(self, df: DataFrame, tree: Node) -> tuple[DataFrame, Node]:
         """FIXED levels of detail as row columns of df, innermost first."""
+        for n in walk(tree):
+            if isinstance(n, Lod) and n.kind == "FIXED" and any(isinstance(x, Lod) and not set(n.dims) <= set(x.dims) for x in walk(n.body)):
+                raise Unsupported("type_or_shape_mismatch", "a nested FIXED must keep the outer dimensions")
 
         def change(n: Node) -> Node | None:
             nonlocal df
             if not (isinstance(n, Lod) and n.kind == "FIXED"):
                 return None
-            for inner in walk(n.body):
-                if isinstance(inner, Lod) and not set(n.dims) <= set(inner.dims):
-                    raise Unsupported("type_or_shape_mismatch", "a nested FIXED must keep the outer dimensions")
             for lod, name, dtype in self.fixed:
                 if lod == n and name in df.columns:
                     return Done(name, dtype)

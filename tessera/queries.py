@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import compare as cmp
+from tessera.operators import extras
 from tessera.operators import profile, reconcile, relationships, verify
 from tessera.operators import filters as flt
 from tessera.plans.model import SemanticModel
@@ -637,4 +638,119 @@ def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask(spark, sf_dir, [f("event_type"), c("COUNT([event_id])", "n"), c("AVG([value])", "v", 6)])
 
 
+# -- smaller operators -------------------------------------------------------------------------------
+
+
+@query("prj_colour", "SELECT o_orderpriority, count(*) AS n, CASE WHEN count(*) > 3000 THEN '#d62728' ELSE '#1f77b4' END AS colour FROM orders GROUP BY 1")
+def prj_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = "IF COUNT([o_orderkey]) > 3000 THEN 'busy' ELSE 'calm' END"
+    found = extras.colour_rule(rule)
+    out = ask(spark, sf_dir, [f("o_orderpriority"), c("COUNT([o_orderkey])", "n"), c(rule, "label")])
+    palette = dict(zip(found["members"], ("#d62728", "#1f77b4")))
+    return out.select("o_orderpriority", "n", extras.colour_of(F.col("label"), palette).alias("colour"))
+
+
+@query("prj_measure_values", "WITH g AS (SELECT l_returnflag, round(sum(l_quantity), 2) AS a, round(avg(l_tax), 6) AS b FROM lineitem GROUP BY 1) SELECT l_returnflag, 'quantity' AS measure, a AS value FROM g UNION ALL SELECT l_returnflag, 'tax', b FROM g")
+def prj_measure_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = ask(spark, sf_dir, [f("l_returnflag"), c("SUM([l_quantity])", "quantity", 2), c("AVG([l_tax])", "tax", 6)])
+    return extras.measure_values(wide, ["l_returnflag"], ["quantity", "tax"])
+
+
+@query("win_previous_value", "WITH RECURSIVE g AS (SELECT year(o_orderdate) AS y, count(*) AS k FROM orders GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY y) AS i FROM g), r AS (SELECT i, y, CAST(100.0 * 0.5 + k AS DOUBLE) AS v FROM n WHERE i = 1 UNION ALL SELECT n.i, n.y, r.v * 0.5 + n.k FROM r JOIN n ON n.i = r.i + 1) SELECT y, round(v, 4) AS v FROM r")
+def win_previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = ask(spark, sf_dir, [f("o_orderdate", "YEAR", "y"), c("COUNT([o_orderkey])", "k")])
+    out = extras.running_fold(marks, [], ["y"], 100.0, lambda before, now: before * 0.5 + now, "k")
+    return out.select("y", F.round("fold", 4).alias("v"))
+
+
+@query("src_combined", "SELECT 'sales' AS island, round(sum(o_totalprice), 2) AS v FROM orders UNION ALL SELECT 'stock', CAST(sum(p_size) AS DOUBLE) FROM part")
+def src_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: readers.table(spark, sf_dir, n)
+    both = extras.combine([("sales", SemanticModel(spark).add("facts", t("orders"))), ("stock", SemanticModel(spark).add("facts", t("part")))])
+    a = run_request(both, {"fields": [c("SUM([o_totalprice])", "v", 2)]}).withColumn("island", F.lit("sales"))
+    b = run_request(both, {"fields": [c("FLOAT(SUM([p_size]))", "v")]}).withColumn("island", F.lit("stock"))
+    return a.unionByName(b)
+
+
+@query("agg_row_counts", "SELECT 'orders' AS relation, count(*) AS n FROM orders UNION ALL SELECT 'nation', count(*) FROM nation")
+def agg_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.row_counts({n: readers.table(spark, sf_dir, n) for n in ("orders", "nation")})
+
+
+@query("pro_metric", "WITH g AS (SELECT date_trunc('month', o_orderdate) AS p, count(*) AS k FROM orders GROUP BY 1) SELECT CAST(p AS TIMESTAMP) AS period, sum(k) OVER (PARTITION BY year(p) ORDER BY p ROWS UNBOUNDED PRECEDING) AS value, 1000.0 AS goal, sum(k) OVER (PARTITION BY year(p) ORDER BY p ROWS UNBOUNDED PRECEDING) >= 1000 AS met FROM g")
+def pro_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.metric(readers.table(spark, sf_dir, "orders"), F.count(F.lit(1)), "o_orderdate", "month", True, 1000.0)
+
+
+@query("cmp_name_sets", "SELECT * FROM (VALUES ('amt_net', 'shared'), ('Order Ref', 'shared'), ('Channel', 'shared'), ('Region', 'shared'), ('Currency', 'right only')) t(name, side)")
+def cmp_name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = inventories(spark)
+    names = lambda df, i: df.where(F.col("asset_id") == i).select(F.explode("fields.name").alias("name"))
+    return extras.name_sets(names(a, "s1"), names(b, "m1"))
+
+
+@query("cmp_contested", "SELECT 'm1' AS model, 's1,s1b' AS claimed_by")
+def cmp_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = inventories(spark)
+    a = a.unionByName(a.where("asset_id = 's1'").withColumn("asset_id", F.lit("s1b")))
+    return extras.contested(cmp.best_matches(cmp.compare(a, b)))
+
+
+@query("cmp_priority", "SELECT n_nationkey, CASE WHEN n_nationkey >= 5 THEN 'P1 - migrate first' WHEN n_nationkey >= 2 THEN 'P2 - migrate' WHEN n_nationkey = 1 THEN 'P3 - deprioritize' ELSE 'P4 - retire candidate' END AS priority FROM nation")
+def cmp_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = readers.table(spark, sf_dir, "nation")
+    return df.select("n_nationkey", cmp.migration_priority(F.lit("rebuild"), cmp.usage_priority(F.col("n_nationkey"))).alias("priority"))
+
+
+@query("cmp_date_table", "SELECT 'Date' AS to_table, 'Day' AS to_column, 2 AS n")
+def cmp_date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.createDataFrame([("Date", "Day", "date"), ("Date", "Day", "date"), ("Product", "Id", "long"), ("Shift", "At", "datetime")], "to_table string, to_column string, to_type string")
+    return extras.date_table(edges, spark.createDataFrame([], "to_table string"))
+
+
+@query("cmp_rebind_downgrade", "SELECT * FROM (VALUES ('d1', 'convert'), ('d2', 'existing_model'), ('d3', 'consolidate')) t(datasource, action)")
+def cmp_rebind_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = spark.createDataFrame([("d1", "existing_model"), ("d2", "existing_model"), ("d3", "consolidate")], "datasource string, action string")
+    dropped = spark.createDataFrame([("d1", "Calc 1"), ("d2", "Gone"), ("d3", "Bin")], "datasource string, object string")
+    local = spark.createDataFrame([("d1", "Calc 1"), ("d2", "Other"), ("d3", "Bin")], "datasource string, object string")
+    return extras.downgrade_rebinds(plan, dropped, local)
+
+
+@query("cmp_reviews", "SELECT * FROM (VALUES ('reuse', 'agree', 1), ('reuse', 'unreviewed', 1), ('rebuild', 'disagree', 1)) t(verdict, decision, n)")
+def cmp_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = spark.createDataFrame([("a", "reuse"), ("b", "reuse"), ("c", "rebuild")], "asset_id string, verdict string")
+    return extras.review_counts(matches, spark.createDataFrame([("a", "agree"), ("c", "disagree")], "asset_id string, decision string"))
+
+
+@query("rec_rank_candidates", "SELECT * FROM (VALUES ('exact', 2, 0, 1), ('unknown', 1, 0, 2), ('wrong', 0, 2, 3)) t(candidate, passed, failed, rank)")
+def rec_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("wrong", "fail"), ("wrong", "fail"), ("exact", "pass"), ("exact", "pass"), ("unknown", "pass"), ("unknown", "inconclusive")]
+    return extras.rank_candidates(spark.createDataFrame(rows, "candidate string, state string"))
+
+
+@query("rec_expected", "SELECT * FROM (VALUES ('rows', 25.0, 25.0, 'pass'), ('regions', 5.0, 6.0, 'fail')) t(measure, value, expected, state)")
+def rec_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = readers.table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct("n_regionkey").cast("double").alias("regions"))
+    want = spark.createDataFrame([("rows", 25.0), ("regions", 6.0)], "measure string, value double")
+    return reconcile.against_expected(n.unpivot([], ["rows", "regions"], "measure", "value"), want)
+
+
+@query("join_inferred", "SELECT 'Orders' AS many, 'Id (People)' AS many_key, 'People' AS one, 'Id' AS one_key, 'many_to_one' AS cardinality")
+def join_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = readers.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Id"))
+    found = extras.infer_relationships({"Orders": ["Id", "Id (People)"], "People": ["Id"]}, lambda t, k: relationships.is_unique(people, k))
+    return spark.createDataFrame([(e.many, e.many_key, e.one, e.one_key, e.cardinality) for e in found], "many string, many_key string, one string, one_key string, cardinality string")
+
+
+@query("par_date_domain", "SELECT count(*) AS n FROM (SELECT unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem), INTERVAL 1 DAY)))")
+def par_date_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: readers.table(spark, sf_dir, n)
+    return cal.date_domain([(t("orders"), "o_orderdate"), (t("lineitem"), "l_shipdate")]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("par_list_labels", "SELECT * FROM (VALUES ('q', 'Quantity'), ('p', 'Price')) t(value, label)")
+def par_list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SemanticModel(spark).parameter("P", "q", members=[("q", "Quantity"), ("p", "Price")]).parameters["P"].domain(spark)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "star_model"]
