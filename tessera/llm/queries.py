@@ -100,4 +100,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_repeated_substrings": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d WHERE length(h) >= 800),
+w AS (SELECT doc_id, s, md5(substring(h, 2 * s + 1, 800)) AS k FROM p),
+r AS (SELECT doc_id, s FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER o + 400 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM g),
+x AS (SELECT doc_id, n, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY 1, 2),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM x GROUP BY 1),
+e AS (SELECT doc_id, a, b FROM x UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+q AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS f FROM e),
+t AS (SELECT q.doc_id, string_agg(substring(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY f) AS kept FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM v),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS norm FROM l),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM m WHERE k > 0 GROUP BY 1),
+f AS (SELECT source, norm FROM m WHERE k > 0 GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
+z AS (SELECT doc_id, sum(k) AS n FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.norm = f.norm WHERE k > 0 GROUP BY 1),
+a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS removed_words
+FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - removed_words < 0.5 * n_words AS depleted FROM a)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM b
+""",
+}
