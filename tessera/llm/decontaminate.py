@@ -51,7 +51,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest:
     windows = materialize(benchmark_windows(benchmark, width), "windows")
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), _words(F.col(text_col)).alias("words"))
     vocabulary = materialize(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary")
-    tokens = text.select(F.explode("words").alias("term"))
+    # explode_outer: explode would add a filter on the words' number, and with it count them twice.
+    tokens = text.select(F.explode_outer("words").alias("term"))
     frequency = tokens.join(_sized(vocabulary, vocabulary.count(), broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     frequency = materialize(frequency, "term-frequency")
     terms = windows.select("k", "item_id", "s", F.size("window").alias("n"), F.posexplode("window").alias("o", "term")).join(frequency, "term")
@@ -62,10 +63,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest:
         .select("k", "s", "term", (F.col("s") + F.col("o")).alias("j"))
     )
     chosen = materialize(chosen, "chosen-terms")
+    n_chosen = chosen.count()
     places = chosen.groupBy("term").agg(F.collect_set(F.struct("k", "j")).alias("places"))
-    places = _sized(places, chosen.count(), broadcast_rows)
+    places = _sized(places, n_chosen, broadcast_rows)
     # The index: postings of the chosen terms, with every text's position of them.
-    postings = text.select("doc_id", "th", F.posexplode("words").alias("pos", "term")).join(places, "term")
+    postings = text.select("doc_id", "th", F.posexplode_outer("words").alias("pos", "term")).join(places, "term")
     postings = materialize(postings.select("doc_id", "th", "pos", "term"), "postings")
     aligned = postings.join(places, "term").select("doc_id", "th", "pos", F.explode("places").alias("p"))
     aligned = aligned.groupBy("doc_id", "th", "p.k", (F.col("pos") - F.col("p.j")).alias("delta")).agg(F.collect_set("p.j").alias("js"))
@@ -73,13 +75,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest:
     aligned = aligned.withColumn("near", F.array_distinct(F.flatten(F.collect_list("js").over(near))))
     needs = chosen.groupBy("k", "s").agg(F.collect_set("j").alias("need"))
     needs = needs.groupBy("k").agg(F.collect_list(F.struct("s", "need")).alias("needs"))
-    aligned = aligned.where(F.size("near") >= 1).join(needs, "k")
+    aligned = aligned.join(_sized(needs, n_chosen, broadcast_rows), "k")
     found = aligned.select(
         "doc_id", "th", "k", "delta", "js",
         F.explode(F.filter("needs", lambda w: F.size(F.array_except(w["need"], F.col("near"))) == 0)).alias("w"),
     )
     exact = (F.size(F.array_except("w.need", "js")) == 0) & (F.col("delta") + F.col("w.s") >= 0)
-    return found.select("doc_id", "th", "k", F.col("w.s").alias("s"), (F.col("delta") + F.col("w.s")).alias("at"), exact.alias("exact")).join(windows, ["k", "s"])
+    return found.select("doc_id", "th", "k", F.col("w.s").alias("s"), (F.col("delta") + F.col("w.s")).alias("at"), exact.alias("exact")).join(_sized(windows, windows.count(), broadcast_rows), ["k", "s"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
