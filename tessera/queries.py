@@ -87,8 +87,8 @@ register_request(
 )
 register_request(
     "agg_if",
-    [f("l_returnflag"), c("SUM(IF [l_discount] > 0.05 THEN [l_extendedprice] END)", "disc_sum", 2), c("COUNTD(IF [l_quantity] > 49 THEN [l_suppkey] END)", "n_big"), c("SUM([l_extendedprice] * [l_discount])", "given", 2)],
-    "SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice END), 2) AS disc_sum, count(DISTINCT CASE WHEN l_quantity > 49 THEN l_suppkey END) AS n_big, round(sum(l_extendedprice * l_discount), 2) AS given FROM lineitem GROUP BY 1",
+    [f("l_returnflag"), c("SUM(IF [l_discount] > 0.05 THEN [l_extendedprice] END)", "disc_sum", 2), c("COUNTD(IF [l_quantity] > 49 THEN [l_suppkey] END)", "n_big"), c("SUM([l_extendedprice] * [l_discount])", "given", 4)],
+    "SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice END), 2) AS disc_sum, count(DISTINCT CASE WHEN l_quantity > 49 THEN l_suppkey END) AS n_big, round(sum(l_extendedprice * l_discount), 4) AS given FROM lineitem GROUP BY 1",
 )
 register_request(
     "agg_bool_attr",
@@ -216,13 +216,13 @@ register_request(
 )
 register_request(
     "win_whole",
-    [_MONTH, c("WINDOW_SUM(SUM([o_totalprice]))", "s", 2), c("WINDOW_AVG(SUM([o_totalprice]))", "a", 2), c("WINDOW_MEDIAN(SUM([o_totalprice]))", "m", 2), c("WINDOW_STDEV(SUM([o_totalprice]))", "sd", 2), c("WINDOW_VARP(COUNT([o_orderkey]))", "vp", 4), c("WINDOW_PERCENTILE(SUM([o_totalprice]), 0.25)", "p25", 2), c("WINDOW_COUNT(COUNTD([o_custkey]))", "marks"), c("WINDOW_CORR(SUM([o_totalprice]), COUNT([o_orderkey]))", "r", 6)],
-    _MONTHS + "SELECT mon, round(sum(s) OVER (), 2) AS s, round(avg(s) OVER (), 2) AS a, round(median(s) OVER (), 2) AS m, round(stddev_samp(s) OVER (), 2) AS sd, round(var_pop(n) OVER (), 4) AS vp, round(quantile_cont(s, 0.25) OVER (), 2) AS p25, count(*) OVER () AS marks, round(corr(s, n) OVER (), 6) AS r FROM m",
+    [_MONTH, c("WINDOW_SUM(SUM([o_totalprice]))", "s", 2), c("WINDOW_AVG(SUM([o_totalprice]))", "a", 2), c("WINDOW_MEDIAN(SUM([o_totalprice]))", "m", 4), c("WINDOW_STDEV(SUM([o_totalprice]))", "sd", 2), c("WINDOW_VARP(COUNT([o_orderkey]))", "vp", 4), c("WINDOW_PERCENTILE(SUM([o_totalprice]), 0.25)", "p25", 4), c("WINDOW_COUNT(COUNTD([o_custkey]))", "marks"), c("WINDOW_CORR(SUM([o_totalprice]), COUNT([o_orderkey]))", "r", 6)],
+    _MONTHS + "SELECT mon, round(sum(s) OVER (), 2) AS s, round(avg(s) OVER (), 2) AS a, round(median(s) OVER (), 4) AS m, round(stddev_samp(s) OVER (), 2) AS sd, round(var_pop(n) OVER (), 4) AS vp, round(quantile_cont(s, 0.25) OVER (), 4) AS p25, count(*) OVER () AS marks, round(corr(s, n) OVER (), 6) AS r FROM m",
 )
 register_request(
     "win_moving",
-    [_MONTH, c("WINDOW_AVG(SUM([o_totalprice]), -2, 0)", "ma", 2), c("WINDOW_SUM(SUM([o_totalprice]), -1, 1)", "ms", 2), c("WINDOW_COUNT(SUM([o_totalprice]), 0, 2)", "mc"), c("WINDOW_MEDIAN(SUM([o_totalprice]), -2, 2)", "mm", 2)],
-    _MONTHS + "SELECT mon, round(avg(s) OVER (ORDER BY mon ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS ma, round(sum(s) OVER (ORDER BY mon ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS ms, count(s) OVER (ORDER BY mon ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mc, round(median(s) OVER (ORDER BY mon ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 2) AS mm FROM m",
+    [_MONTH, c("WINDOW_AVG(SUM([o_totalprice]), -2, 0)", "ma", 2), c("WINDOW_SUM(SUM([o_totalprice]), -1, 1)", "ms", 2), c("WINDOW_COUNT(SUM([o_totalprice]), 0, 2)", "mc"), c("WINDOW_MEDIAN(SUM([o_totalprice]), -2, 2)", "mm", 4)],
+    _MONTHS + "SELECT mon, round(avg(s) OVER (ORDER BY mon ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS ma, round(sum(s) OVER (ORDER BY mon ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS ms, count(s) OVER (ORDER BY mon ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mc, round(median(s) OVER (ORDER BY mon ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS mm FROM m",
 )
 register_request(
     "win_anchored",
@@ -263,8 +263,8 @@ register_request(
 _YEARS = "WITH g AS (SELECT year(o_orderdate) AS y, sum(o_totalprice) AS s FROM orders GROUP BY 1) "
 register_request(
     "win_quick",
-    [f("o_orderdate", "YEAR", "y"), *[c("SUM([o_totalprice])", n, 6, quickCalc=q) for n, q in (("pt", "PERCENT_OF_TOTAL"), ("pd", "PERCENT_DIFFERENCE"), ("cagr", "COMPOUND_GROWTH"), ("rk", "RANK"), ("pc", "PERCENTILE"))], c("SUM([o_totalprice])", "ma", 2, quickCalc={"family": "MOVING_AVERAGE", "window": 2}), c("SUM([o_totalprice])", "df", 2, quickCalc="DIFFERENCE"), c("SUM([o_totalprice])", "rt", 2, quickCalc="RUNNING_TOTAL")],
-    _YEARS + "SELECT y, round(s / sum(s) OVER (), 6) AS pt, round((s - lag(s) OVER w) / lag(s) OVER w, 6) AS pd, round(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE pow(s / first_value(s) OVER w, 1.0 / (row_number() OVER w - 1)) - 1 END, 6) AS cagr, rank() OVER (ORDER BY s DESC) AS rk, round((dense_rank() OVER (ORDER BY s) - 1) / (dense_rank() OVER (ORDER BY s) + dense_rank() OVER (ORDER BY s DESC) - 2), 6) AS pc, round(avg(s) OVER (ORDER BY y ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS ma, round(s - lag(s) OVER w, 2) AS df, round(sum(s) OVER (ORDER BY y ROWS UNBOUNDED PRECEDING), 2) AS rt FROM g WINDOW w AS (ORDER BY y)",
+    [f("o_orderdate", "YEAR", "y"), *[c("SUM([o_totalprice])", n, 6, quickCalc=q) for n, q in (("pt", "PERCENT_OF_TOTAL"), ("pd", "PERCENT_DIFFERENCE"), ("cagr", "COMPOUND_GROWTH"), ("rk", "RANK"), ("pc", "PERCENTILE"))], c("SUM([o_totalprice])", "ma", 4, quickCalc={"family": "MOVING_AVERAGE", "window": 2}), c("SUM([o_totalprice])", "df", 2, quickCalc="DIFFERENCE"), c("SUM([o_totalprice])", "rt", 2, quickCalc="RUNNING_TOTAL")],
+    _YEARS + "SELECT y, round(s / sum(s) OVER (), 6) AS pt, round((s - lag(s) OVER w) / lag(s) OVER w, 6) AS pd, round(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE pow(s / first_value(s) OVER w, 1.0 / (row_number() OVER w - 1)) - 1 END, 6) AS cagr, rank() OVER (ORDER BY s DESC) AS rk, round((dense_rank() OVER (ORDER BY s) - 1) / (dense_rank() OVER (ORDER BY s) + dense_rank() OVER (ORDER BY s DESC) - 2), 6) AS pc, round(avg(s) OVER (ORDER BY y ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 4) AS ma, round(s - lag(s) OVER w, 2) AS df, round(sum(s) OVER (ORDER BY y ROWS UNBOUNDED PRECEDING), 2) AS rt FROM g WINDOW w AS (ORDER BY y)",
 )
 register_request(
     "win_yoy_ytd",
@@ -346,13 +346,13 @@ def flt_row_security(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register_request(
     "join_star",
-    [f("r_name"), f("p_brand"), c("[Revenue]", "rev", 2), c("COUNTD([s_nationkey])", "nations")],
-    f"SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev, count(DISTINCT s_nationkey) AS nations FROM {STAR} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
+    [f("r_name"), f("p_brand"), c("[Revenue]", "rev", 4), c("COUNTD([s_nationkey])", "nations")],
+    f"SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS rev, count(DISTINCT s_nationkey) AS nations FROM {STAR} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
 )
 register_request(
     "flagship_top_nations",
-    [f("n_name"), c("[Revenue]", "rev", 2, sortDirection="DESC", sortPriority=1), c("[Price per Unit]", "unit", 4), c("RANK(SUM([l_quantity]))", "by_quantity")],
-    f"WITH g AS (SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS rev, sum(l_quantity) AS q FROM {STAR} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY 1) SELECT n_name, round(rev, 2) AS rev, round(rev / q, 4) AS unit, rank() OVER (ORDER BY q DESC) AS by_quantity FROM g ORDER BY rev DESC LIMIT 10",
+    [f("n_name"), c("[Revenue]", "rev", 4, sortDirection="DESC", sortPriority=1), c("[Price per Unit]", "unit", 4), c("RANK(SUM([l_quantity]))", "by_quantity")],
+    f"WITH g AS (SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS rev, sum(l_quantity) AS q FROM {STAR} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1999-01-01' GROUP BY 1) SELECT n_name, round(rev, 4) AS rev, round(rev / q, 4) AS unit, rank() OVER (ORDER BY q DESC) AS by_quantity FROM g ORDER BY rev DESC LIMIT 10",
     filters=[{"field": f("l_shipdate"), "filterType": "QUANTITATIVE_DATE", "quantitativeFilterType": "RANGE", "minDate": "1996-01-01", "maxDate": "1998-12-31"}], limit=10,
 )
 
