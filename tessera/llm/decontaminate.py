@@ -123,7 +123,7 @@ def decontaminate_ids(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     rows = docs.withColumn("th", F.xxhash64(text_col))
     if (n := found.count()) <= broadcast_rows:  # else every text is shuffled to meet them
         rows = rows.join(_sized(found.select("__id", "__th"), n, broadcast_rows), same, "left_semi")
-    rows = rows.join(found, same)
+    rows = rows.join(found.hint("merge"), same)  # whole windows of every candidate: never broadcast
     rows = rows.select("__id", "__th", "phrases", _words(F.col(text_col)).alias("words"))
     hits = F.filter("phrases", lambda p: F.slice("words", p["at"] + 1, F.size(p["window"])) == p["window"])
     covered = F.size(F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(p["at"], p["at"] + F.size(p["window"]) - 1)))))
