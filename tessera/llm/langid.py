@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,7 @@ def _texts_without_letters(column, at: np.ndarray, classes: np.ndarray) -> np.nd
 
 
 def _sparse_vectors(batches):
-    """(lang, codes, counts) of each text."""
+    """(lang, key, codes, counts) of each text."""
     for batch in small_batches(batches, 1):
         codes, at, _ = _codes(batch.column(1))
         rows, counts = [], []
@@ -83,7 +84,7 @@ def _sparse_vectors(batches):
             found, n = np.unique(codes[a : max(a, b - 2)], return_counts=True)
             rows.append(found.astype(np.int32))
             counts.append(n.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "codes", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "key", "codes", "counts"])
 
 
 def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2048, features: int = 4096, per_lang: int = 3, rounds: int = 12, max_langs: int = 256) -> Centroids | None:
@@ -101,8 +102,9 @@ def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "
     share = sample_rows / len(counts)
     unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
-    sample = known.where(unit < most[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    vectors = sample.mapInArrow(_sparse_vectors, "lang string, codes array<int>, counts array<int>").limit(2 * sample_rows).toArrow()
+    sample = known.where(unit < most[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    vectors = sample.mapInArrow(_sparse_vectors, "lang string, key long, codes array<int>, counts array<int>").limit(2 * sample_rows).toArrow()
+    vectors = vectors.take(pa.compute.sort_indices(vectors, sort_keys=[("key", "ascending"), ("lang", "ascending")]))  # the fit depends on no partition's order
     langs = np.array(vectors.column("lang").to_pylist(), object)
     if not len(langs):
         return None
