@@ -1,12 +1,13 @@
-"""Substring dedup by hashing lines and the sentences in them.
+"""Substring dedup by hashing lines and the sentence runs in them.
 
 Each text is split into lines (at a newline) and each line into sentences (after a full
-stop, exclamation or question mark before a blank or the line's end). A unit is normalised
-(case folded, white space runs to one blank, trimmed) and hashed to 128 bits. Digests are
-grouped over the whole table; the occurrence that ranks first, by id and then offset, is
-kept and every later one is removed, within one document too. Lines of under
-``min_line_words`` words and sentences of under ``min_sentence_words`` are never removed,
-as short ones recur by chance. Offsets are those of the original text in code points, end
+stop, exclamation or question mark before a blank or the line's end). A unit is a line, or
+the sentences from one on until they have ``min_words`` words, so that a passage inside
+other lines is met wherever it begins. A unit is normalised (case folded, white space runs
+to one blank, trimmed) and hashed to 128 bits. Digests are grouped over the whole table; the
+occurrence that ranks first, by id and then offset, is kept and every later one is removed,
+within one document too. Lines of under ``min_line_words`` words and runs of under
+``min_words`` are never removed, as short ones recur by chance. Offsets are those of the original text in code points, end
 exclusive; a removed line takes its newline along.
 
 A digest in a third of all rows is combined before it is shuffled, and its join partition
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,32 +34,58 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|\Z)[^.!?]*)*(?:[.!?]+|\Z)\s*")
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-def split_units(text: str, min_line_words: int, min_sentence_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines and sentences of a text that may be removed."""
-    found, at = [], 0
+def split_units(text: str, min_line_words: int, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the lines and the sentence runs of a text that may be removed."""
+    found, sentences, at = [], [], 0
     for line in text.split("\n"):
         stop = min(len(text), at + len(line) + 1)
         words = line.casefold().split()
         if len(words) >= min_line_words:
             found.append((at, stop, xxhash.xxh3_128_digest("\n" + " ".join(words))))
+        if words:
             for m in _SENTENCE.finditer(line):
-                own = m.group().casefold().split()
-                if len(own) >= min_sentence_words:
-                    found.append((at + m.start(), at + m.end(), xxhash.xxh3_128_digest(" ".join(own))))
+                if m.end() > m.start():
+                    sentences.append((at + m.start(), stop if m.end() == len(line) else at + m.end(), m.group().casefold().split()))
         at = stop
+    for i, (start, end, words) in enumerate(sentences):
+        k = i
+        while len(words) < min_words and k + 1 < len(sentences):
+            k += 1
+            end, words = sentences[k][1], words + sentences[k][2]
+        if len(words) >= min_words:
+            found.append((start, end, xxhash.xxh3_128_digest(" ".join(words))))
     return found
 
 
-def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: int, min_sentence_words: int) -> DataFrame:
-    """(doc_id, th, units) of every row."""
-    unit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
+def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: int, min_words: int) -> DataFrame:
+    """(doc_id, th, units, again) of every row: each different unit at its first place, and the spans of its later ones.
+
+    A later place in the same text is removed whatever else has the unit, so it needn't be
+    compared. A unit's digest is two longs.
+    """
+    kinds = [("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]
 
     def run(batches):
         for batch in batches:
-            rows = [[{"start": a, "end": b, "digest": d} for a, b, d in split_units(t.decode(), min_line_words, min_sentence_words)] for t in utf8_rows(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(unit))], ["doc_id", "th", "units"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("th", T.LongType())]).add("units", T.ArrayType(T.StructType([*SPAN.fields, T.StructField("digest", T.BinaryType())])))
+            offsets, starts, ends, digests, again = [0], [], [], [], []
+            for t in utf8_rows(batch.column(2)):
+                seen, later = set(), []
+                for a, b, d in split_units(t.decode(), min_line_words, min_words):
+                    if d in seen:
+                        later.append((a, b))
+                        continue
+                    seen.add(d)
+                    starts.append(a)
+                    ends.append(b)
+                    digests.append(d)
+                offsets.append(len(starts))
+                again.append([{"start": a, "end": b} for a, b in merge_spans(later)])
+            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            units = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], fields=[pa.field(n, k) for n, k in kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), units), pa.array(again, pa.list_(pa.struct(kinds[:2])))], ["doc_id", "th", "units", "again"])
+
+    unit = T.StructType([*SPAN.fields, T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("units", T.ArrayType(unit)), T.StructField("again", T.ArrayType(SPAN))])
     return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
 
 
@@ -81,15 +109,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4, min_sentence_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4, min_words: int = 8) -> DataFrame:
     """doc_id, kept_text and removed (array of start, end in the original text) of every row."""
-    units = materialize(hashed_units(docs, id_col, text_col, min_line_words, min_sentence_words), "units")
-    rows = units.select("doc_id", "th", F.explode("units").alias("u")).select("doc_id", "th", "u.start", "u.end", "u.digest")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "start")
-    first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = first.where(F.col("first") != F.col("last")).select("digest", "first")  # a digest with one place has no later one
-    later = rows.join(first, "digest").where(rank != F.col("first"))
-    spans = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    units = materialize(hashed_units(docs, id_col, text_col, min_line_words, min_words), "units")
+    rows = units.select("doc_id", "th", F.explode("units").alias("u")).select("doc_id", "th", "u.start", "u.end", "u.d1", "u.d2")
+    integral = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    last = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")] if integral else [F.col("doc_id").isNull().alias("no_id"), "doc_id"]
+    rank = F.struct(*last, "th", "start")
+    first = rows.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1").select("d1", "d2", "first")  # a digest with one place has no later one
+    later = rows.join(first, ["d1", "d2"]).where(rank != F.col("first"))
+    own = units.select("doc_id", "th", F.explode("again").alias("a")).select("doc_id", "th", "a.start", "a.end")
+    spans = later.select("doc_id", "th", "start", "end").unionByName(own).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     joined = text.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")

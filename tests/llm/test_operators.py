@@ -162,7 +162,7 @@ def test_line_dedup_matches_a_plain_version(docs, rows, empty):
 def test_units_cover_passages_inside_lines():
     text = "Ab c d e. The passage stands here with quite a few words in it. x\nfoo"
     found = {text[a:b] for a, b, _ in linedup.split_units(text, 4, 8)}
-    assert "The passage stands here with quite a few words in it. " in found and text.split("\n")[0] + "\n" in found
+    assert "The passage stands here with quite a few words in it. " in found and "Ab c d e. The passage stands here with quite a few words in it. " in found and text.split("\n")[0] + "\n" in found
 
 
 # -- 5 -----------------------------------------------------------------------------------------
