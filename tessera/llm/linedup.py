@@ -117,7 +117,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")] if integral else [F.col("doc_id").isNull().alias("no_id"), "doc_id"]
     rank = F.struct(*last, "th", "start")
     first = rows.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("d1", "d2", "first")  # a digest with one place has no later one
+    # A digest with one place has no later one. Written, so that both sides of the join are
+    # plain shuffles and Spark can split a hot digest's rows.
+    first = materialize(first.where("n > 1").select("d1", "d2", "first"), "first-places")
     later = rows.join(first, ["d1", "d2"]).where(rank != F.col("first"))
     own = units.select("doc_id", "th", F.explode("again").alias("a")).select("doc_id", "th", "a.start", "a.end")
     spans = later.select("doc_id", "th", "start", "end").unionByName(own).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
