@@ -1,8 +1,9 @@
 """Connected components of a distributed edge list by alternating large-star and small-star.
 
 Every round is two aggregations with map-side combining and two joins, so a hub with a
-third of all edges is combined before it is shuffled, and its join partition can be split
-at run time. Each round's edges are written to the shared folder. Nothing is collected but
+third of all edges is combined before it is shuffled. Each round's edges and lowest
+neighbours are written to the shared folder, so both sides of a join are plain shuffles and
+a hub's partition can be split at run time. Nothing is collected but
 a count and a checksum.
 """
 
@@ -29,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         was, state = state, _state(edges)
