@@ -16,16 +16,16 @@ UNSET = np.uint16(65535)
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by prefix doubling; symbols are below 511."""
+    """Suffix array and its inverse by prefix doubling; symbols are below 511, their number below 2**31."""
     n = len(symbols)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = symbols + 1  # the end comes before every symbol
     key = np.zeros(n, np.uint64)
     for i in range(7):  # seven symbols of nine bits
         key = (key << np.uint64(9)) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     start = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     h = 7
     tied = _tied(start)
@@ -33,7 +33,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = sa[tied]
         after = own + h
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key2 = rank[own] * (n + 1) + second
+        key2 = rank[own].astype(np.int64) * (n + 1) + second
         order = np.argsort(key2, kind="stable")
         own, key2 = own[order], key2[order]
         sa[tied] = own
@@ -48,7 +48,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _tied(start: np.ndarray) -> np.ndarray:
     """Rows whose group, of those that begin at start, has another row."""
     alone = start & np.concatenate([start[1:], [True]])
-    return np.flatnonzero(~alone)
+    return np.flatnonzero(~alone).astype(np.int32)
 
 
 def common_prefixes(symbols: np.ndarray, sa: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
@@ -63,9 +63,9 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, rank: np.ndarray, lengt
     first = symbols[sa]
     lf = rank[sa - 1]  # the row of the suffix one longer; the whole text's wraps round to a separator
     bwt = symbols[sa - 1]
-    psi = np.empty(n, np.int64)
-    psi[lf] = np.arange(n)
-    following = np.full(n, n, np.int64)
+    psi = np.empty(n, np.int32)
+    psi[lf] = np.arange(n, dtype=np.int32)
+    following = np.full(n, n, np.int32)
     same = np.flatnonzero(first[1:] == first[:-1])
     following[psi[same]] = psi[same + 1]
     block = np.searchsorted(first, np.arange(int(first[-1]) + 2))

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no Arrow batch hold more than ``most`` bytes: by rows alone, a batch of long texts could fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
@@ -34,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder is removed when the driver's Python ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -54,6 +60,7 @@ def _remove_written() -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Python workers are told where this package lies, in case only the driver's path has it."""
+    bound_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
@@ -88,7 +95,7 @@ def byte_offsets(column) -> tuple[np.ndarray, np.ndarray]:
 def utf8_rows(column):
     """Each row of an Arrow string column as bytes (null: empty)."""
     data, at = byte_offsets(column)
-    whole = data.tobytes() if len(column) else b""
+    whole, at = data[at[0] : at[-1]].tobytes(), at - at[0]  # a slice's own bytes alone
     nulls = column.is_null().to_numpy(zero_copy_only=False)
     for i in range(len(column)):
         yield b"" if nulls[i] else whole[at[i] : at[i + 1]]

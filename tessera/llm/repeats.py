@@ -154,7 +154,7 @@ def _chunk_table(marked: DataFrame, length: int) -> DataFrame:
     """Chunks of the texts in (th, tl, text, repeated)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             th, tl = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows, held = [], 0
             for i, t in enumerate(utf8_rows(batch.column(2))):
@@ -209,7 +209,7 @@ def _deal_again(rows: DataFrame, step: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, _CHUNK)
 
 
-def _search(length: int, batch_bytes: int = 3 << 20):
+def _search(length: int, batch_bytes: int = 1 << 20):
     """Of groups of different chunks (key, digest, n, data): covered spans of each chunk that has some."""
 
     def solve(keys, digests, counts, texts):
@@ -235,7 +235,8 @@ def _search(length: int, batch_bytes: int = 3 << 20):
     def run(batches):
         keys, digests, counts, texts, held = [], [], [], [], 0
         for batch in batches:
-            for k, d, n, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in range(batch.num_rows):
+                k, d, n, t = (batch.column(i)[row].as_py() for i in range(4))
                 if held > batch_bytes and k != keys[-1]:
                     yield solve(keys, digests, counts, texts)
                     keys, digests, counts, texts, held = [], [], [], [], 0
@@ -269,7 +270,7 @@ def covered_chunks(rows: DataFrame, length: int, group_bytes: int, steps: tuple[
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 32 << 20, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8 << 20, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and removed (maximal runs as start, end in bytes) of every row."""
     if length < GRAM + WIDTH:
         raise ValueError(f"length must be at least {GRAM + WIDTH} bytes")
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             n_bytes, kept, removed = [], [], []
             for t, copied, found in zip(utf8_rows(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if copied and len(t) >= length:
