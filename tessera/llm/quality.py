@@ -82,6 +82,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = table.select("doc_id", "th", "host", F.explode("lines").alias("l")).select("doc_id", "th", "host", "l.digest", "l.words")
     places = lines.groupBy("host", "digest", "th").agg(F.lit(1).alias("one"))
     frequent = places.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(F.col("host").alias("f_host"), F.col("digest").alias("f_digest"))
+    frequent = materialize(frequent, "frequent-lines")  # both sides of the join are then plain shuffles, which can be split
     gone = lines.join(frequent, (F.col("digest") == F.col("f_digest")) & F.col("host").eqNullSafe(F.col("f_host")))
     gone = gone.select("doc_id", "th", "host", "digest", "words").distinct()  # repeated rows have equal lines
     gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("host").alias("g_host")).agg(F.sum("words").alias("removed"))
