@@ -1,13 +1,16 @@
 """Substring dedup by hashing lines and the sentence runs in them.
 
 Each text is split into lines (at a newline) and each line into sentences (after a full
-stop, exclamation or question mark before a blank or the line's end). A unit is a line, or
-the sentences from one on until they have ``min_words`` words, so that a passage inside
-other lines is met wherever it begins. A unit is normalised (case folded, white space runs
+stop, exclamation or question mark before a blank or the line's end, after other scripts'
+sentence marks, and at a blank after Thai, Lao, Burmese or Khmer, which have none). A unit is
+a line that isn't blank, or the sentences from one on until they have ``min_words`` words, so
+that a passage inside other lines is met wherever a sentence begins. A unit is normalised (case folded, white space runs
 to one blank, trimmed) and hashed to 128 bits. Digests are grouped over the whole table; the
 occurrence that ranks first, by id and then offset, is kept and every later one is removed,
-within one document too. Lines of under ``min_line_words`` words and runs of under
-``min_words`` are never removed, as short ones recur by chance. Offsets are those of the original text in code points, end
+within one document too. Only runs have a least length, as short sentences recur by chance:
+``min_words`` words at white space, where two letters of a script written without blanks count
+as one word more. A passage inside a sentence, in a line without sentence marks too, is no
+unit. Offsets are those of the original text in code points, end
 exclusive; a removed line takes its newline along.
 
 A digest in a third of all rows is combined before it is shuffled, and its join partition
@@ -29,7 +32,18 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, utf8_rows
 
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|\Z)[^.!?]*)*(?:[.!?]+|\Z)\s*")
+#: Sentence marks of other scripts, the marks that may close a quotation after them, the scripts whose
+#: sentences end at a blank, and the scripts written without blanks between words.
+_MARKS = (
+    "\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u0f0d-\u0f11\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5"
+    "\u1803\u1809\u1944\u1945\u1aa8-\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047-\u2049\u2e2e\u2e3c\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7"
+    "\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f\uaaf0\uaaf1\uabeb\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+)
+_CLOSING = "\"'\u00bb\u2019\u201d)\u3009\u300b\u300d\u300f\u3011\uff09\uff63"
+_BLANK_ENDS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile("[" + _BLANK_ENDS + "\u0f00-\u0fff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_STOP = re.compile(r"[.!?]+(?:\s+|\Z)")
+_STOP_ANY = re.compile(rf"[.!?]+(?:\s+|\Z)|[{_MARKS}][{_MARKS}.!?]*[{_CLOSING}]*\s*|[{_BLANK_ENDS}]\s+")
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -39,24 +53,34 @@ def split_units(text: str, min_line_words: int, min_words: int) -> list[tuple[in
     found, sentences, at = [], [], 0
     for line in text.split("\n"):
         stop = min(len(text), at + len(line) + 1)
+        plain = line.isascii()
         words = line.casefold().split()
-        if len(words) >= min_line_words:
-            found.append((at, stop, xxhash.xxh3_128_digest("\n" + " ".join(words))))
         if words:
-            for m in _SENTENCE.finditer(line):
-                if m.end() > m.start():
-                    sentences.append((at + m.start(), stop if m.end() == len(line) else at + m.end(), m.group().casefold().split()))
+            if _size(words, line, plain) >= min_line_words:
+                found.append((at, stop, xxhash.xxh3_128_digest("\n" + " ".join(words))))
+            first = 0
+            for last in [*(m.end() for m in (_STOP if plain else _STOP_ANY).finditer(line)), len(line)]:
+                if last > first:
+                    part = line[first:last]
+                    own = part.casefold().split()
+                    sentences.append((at + first, stop if last == len(line) else at + last, own, _size(own, part, plain)))
+                first = last
         at = stop
-    for i, (start, end, words) in enumerate(sentences):
+    for i, (start, end, words, size) in enumerate(sentences):
         k = i
-        while len(words) < min_words and k + 1 < len(sentences):
+        while size < min_words and k + 1 < len(sentences):
             k += 1
-            end, words = sentences[k][1], words + sentences[k][2]
-        if len(words) >= min_words:
+            end, words, size = sentences[k][1], words + sentences[k][2], size + sentences[k][3]
+        if size >= min_words:
             found.append((start, end, xxhash.xxh3_128_digest(" ".join(words))))
     return found
 
 
+def _size(words: list[str], text: str, plain: bool) -> int:
+    """Words at white space, and one for each two letters of a script without it."""
+    return len(words) + (0 if plain else len(_UNSPACED.findall(text)) // 2)
+
+
 def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: int, min_words: int) -> DataFrame:
     """(doc_id, th, units, again) of every row: each different unit at its first place, and the spans of its later ones.
 
@@ -109,7 +133,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 1, min_words: int = 8) -> DataFrame:
     """doc_id, kept_text and removed (array of start, end in the original text) of every row."""
     units = materialize(hashed_units(docs, id_col, text_col, min_line_words, min_words), "units")
     rows = units.select("doc_id", "th", F.explode("units").alias("u")).select("doc_id", "th", "u.start", "u.end", "u.d1", "u.d2")

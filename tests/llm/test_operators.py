@@ -165,6 +165,16 @@ def test_units_cover_passages_inside_lines():
     assert "The passage stands here with quite a few words in it. " in found and "Ab c d e. The passage stands here with quite a few words in it. " in found and text.split("\n")[0] + "\n" in found
 
 
+def test_every_repeated_line_and_sentences_of_all_scripts(spark):
+    line, passage = "春眠不觉晓处处闻啼鸟" * 15, "这里有一段相当长的话语。它在别的行里也会出现，一字不差。"
+    thai, hindi = "ข้อความนี้ปรากฏในหลายเอกสารด้วยกัน", "यह वाक्य कई अलग अलग दस्तावेज़ों में आता है।"
+    texts = ["a\n" + line + "\nOK\n \nz", "b\n" + line + "\nok\n \ny", "c\n一二三四。" + passage + "五六七", "d\n八九十。" + passage + "百千", f"e\nกขค {thai} งจฉ", f"f\nชซฌ {thai} ญฎฏ", f"g\nक ख।{hindi} ग", f"h\nच छ।{hindi} ज"]
+    rows = linedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [r.kept_text for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert got[1] == "b\n \ny" and got[3] == "d\n八九十。百千" and got[5] == "f\nชซฌ ญฎฏ" and got[7] == "h\nच छ।ज"
+    assert got[::2] == texts[::2]
+
+
 # -- 5 -----------------------------------------------------------------------------------------
 
 
