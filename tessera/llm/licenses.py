@@ -131,8 +131,9 @@ TEXTS = [
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 4, 0.8),
     ("warranty", "warranty", r"without (?:any )?warranty(?: of any kind)?", 7, 0.2),
 ]
-#: A text without any of these, in either case, has no detection and no base phrase.
-CUES = r"(?i)licen[sc]|copyright|rights[^0-9a-z]+reserved|public domain|spdx|creative ?commons|proprietary|warranty|permission |redistribution|https?://|gpl|\bcc0|\bcc[^0-9a-z\x80-\x{10FFFF}]+by|cecill|wtfpl|0bsd|apache|bsd"
+#: A text without any of these, in either case, has no detection and no base phrase. Words end where WORD
+#: ends, so an underscore separates them, which \b takes for a letter.
+CUES = r"(?i)licen[sc]|copyright|rights[^0-9a-z]+reserved|public domain|spdx|creative ?commons|proprietary|warranty|permission |redistribution|https?://|gpl|\bcc0|(?<![0-9a-z\x80-\x{10FFFF}])cc[^0-9a-z\x80-\x{10FFFF}]+by|cecill|wtfpl|0bsd|apache|bsd"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:

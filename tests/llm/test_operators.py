@@ -199,6 +199,16 @@ def test_license_rules_and_suppression(spark, docs, rows, empty):
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_base_phrases_beside_underscores(spark):
+    texts = ["_CC BY 4.0_", "__CC-BY__", "img_cc_by_4", "x_cc by", "_general_public_LICENSE_", "_All_Rights__reserved_", "acc_by", "écc_by", "cc_byé", "\x7fcc\x00by\x01", "cc\nby_cc_by"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    phrases = [("cc", "by"), ("general", "public", "license"), ("all", "rights", "reserved")]
+    for i, t in enumerate(texts):
+        w = words(t)
+        assert sorted(b["start"] for b in got[i].base) == sorted(k for p in phrases for k in range(len(w)) if tuple(w[k : k + len(p)]) == p), t
+    assert [got[i].base_labels for i in range(6)] == [["cc-by"]] * 4 + [["gpl"], ["reserved"]]
+
+
 # -- 6 -----------------------------------------------------------------------------------------
 
 
