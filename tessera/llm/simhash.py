@@ -52,16 +52,18 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row, and th (a hash of the text) if ``hashed``."""
+    also = [F.xxhash64(text_col).alias("th")] if hashed else []
+    names = ["doc_id", "fp", *["th"] * hashed]
 
     def run(batches):
         for batch in batches:
             found = np.array([simhash(t, shingle) for t in utf8_rows(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names)
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names[1:]]])
+    return docs.select(F.col(id_col), F.col(text_col), *also).mapInArrow(run, schema)
 
 
 def _rotated(bits: Column, fixed: int, by: int) -> Column:
@@ -234,17 +236,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    Rows that repeat an id and rows without one are told apart by their fingerprint; of
-    equal ones a single row stays.
+    Rows without an id rank last; rows that repeat an id are told apart by a hash of their
+    text; of rows equal in both a single one stays.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, budget), "near-duplicates")
-    keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
-    keep = materialize(keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    # Most ids stay, so they are as many as the documents: merged at every size, never broadcast.
-    stay = docs.join(keep.where("n = 1").select(F.col("doc_id").alias("__kept")).hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi")
-    again = keep.where("n > 1").select(F.col("doc_id").alias("__kept"))
+    prints = materialize(fingerprints(docs, id_col, text_col, hashed=True), "prints")
+    roots = link_fingerprints(prints, budget)
+    rows = prints.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")
+    first = rows.groupBy("fp").agg(F.min(rank).alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    keep = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = materialize(keep.select(F.col("first.doc_id").alias("__kept"), F.col("first.th").alias("__th"), F.col("first.n").alias("__n")), "kept-rows")
+    same = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text_col) == F.col("__th"))
+    # Most rows stay, so they are as many as the documents: merged at every size, never broadcast.
+    stay = docs.join(keep.where("__n = 1").hint("merge"), same, "left_semi")
+    again = keep.where("__n > 1")
     if again.isEmpty():
         return stay
-    # Null ids come as one group without a component id; each of their fingerprints keeps one row.
-    repeated = docs.join(again, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return stay.unionByName(repeated.dropDuplicates([id_col, text_col]))
+    return stay.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -268,6 +268,15 @@ def test_simhash_of_edge_cases(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, vocabulary):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(6))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept([(1, a), (2, a), (None, b)]) == sorted([(1, a), (None, b)], key=str)  # the only null id
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, c), (None, c), (7, d), (3, e), (7, e), (8, f), (8, f), (9, f)]
+    assert kept(rows) == sorted([(1, a), (None, b), (None, c), (7, d), (3, e), (8, f)], key=str)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
