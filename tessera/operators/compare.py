@@ -301,11 +301,17 @@ def fingerprint(inventory: DataFrame) -> Column:
     return F.substring(F.sha1(blob), 1, 12)
 
 
-def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD, rounds: int = 20) -> DataFrame:
-    """(asset_id, fingerprint, cluster_id, size): near-identical assets, through chains of similar ones.
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage: each round of a loop would add to the plan otherwise."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD) -> DataFrame:
+    """(asset_id, fingerprint, cluster_id, size): near-identical assets, through chains of similar ones of any length.
 
     Equal fingerprints collapse first; representatives are then paired and joined through
-    minimum labels. The cluster's id is its smallest asset id.
+    minimum labels, which also go to the label's own asset and jump to the label's label, until
+    none moves. The cluster's id is its smallest asset id.
     """
     base = folded(inventory)
     base = base.withColumn("fingerprint", fingerprint(base))
@@ -314,16 +320,17 @@ def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD, rounds:
     chosen = weighted(chosen, column_weights(chosen))
     pairs = _side(chosen, "l").join(_side(chosen, "r"), F.col("l_asset_id") < F.col("r_asset_id"))
     links = score_pairs(pairs, CLUSTER_WEIGHTS).where(F.col("score") >= threshold).select(F.col("l_asset_id").alias("a"), F.col("r_asset_id").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = reps.select("asset_id", F.col("asset_id").alias("label"))
-    for _ in range(rounds):
-        near = links.join(labels.withColumnsRenamed({"asset_id": "b", "label": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        new = labels.join(near, labels["asset_id"] == near["a"], "left").select("asset_id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        new = new.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        moved = new.where("moved").count()
-        labels = new.select("asset_id", "label")
-        if not moved:
-            break
+    links = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = _cut(reps.select("asset_id", F.col("asset_id").alias("label")))
+    moved = 1
+    while moved:
+        near = links.join(labels.withColumnsRenamed({"asset_id": "b", "label": "near"}), "b").join(labels.withColumnsRenamed({"asset_id": "a", "label": "own"}), "a")
+        near = near.select(F.explode(F.array("a", "own")).alias("asset_id"), "near").groupBy("asset_id").agg(F.min("near").alias("near"))
+        low = _cut(labels.join(near, "asset_id", "left").select("asset_id", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        labels = low.join(low.select(F.col("asset_id").alias("label"), F.col("label").alias("next")), "label")
+        labels = _cut(labels.select("asset_id", F.col("next").alias("label"), (F.col("next") < F.col("was")).alias("moved")))
+        moved = labels.where("moved").count()
+        labels = labels.select("asset_id", "label")
     found = base.join(reps.withColumnRenamed("asset_id", "rep"), "fingerprint").join(labels.withColumnsRenamed({"asset_id": "rep", "label": "cluster_id"}), "rep")
     return found.select("asset_id", "fingerprint", "cluster_id", F.count(F.lit(1)).over(W.partitionBy("cluster_id")).alias("size"))
 

@@ -135,3 +135,15 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert sorted((r.window_start, r.event_type, r.n) for r in spark.table(name).collect()) == sorted((r.window_start, r.event_type, r.n) for r in stream.tumbling(batch).collect())
     again = batch.unionByName(batch)
     assert stream.sessions(batch).agg(F.sum("n")).first()[0] == batch.count() and again.dropDuplicates(["event_id"]).count() == batch.count()
+
+
+def chain(spark, n, width=12):
+    """n assets that each share all columns but one with the next."""
+    rows = [(f"a{i:02d}", "", [(f"col{k}x", "STRING") for k in range(i, i + width)], [], []) for i in range(n)]
+    return spark.createDataFrame(rows, "asset_id string, name string, fields array<struct<name string, type string>>, tables array<struct<connector string, database string, name string>>, calcs array<string>")
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    apart = chain(spark, 45).where("asset_id not in ('a42', 'a43')")  # a44 shares too little with a41
+    got = {r.asset_id: (r.cluster_id, r["size"]) for r in cmp.cluster(apart).collect()}
+    assert got == {**{f"a{i:02d}": ("a00", 42) for i in range(42)}, "a44": ("a44", 1)}
