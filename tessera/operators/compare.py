@@ -187,15 +187,79 @@ def _side(df: DataFrame, side: str) -> DataFrame:
 def compare(left: DataFrame, right: DataFrame, weights: dict[str, float] = WEIGHTS, broadcast_rows: int = 100_000) -> DataFrame:
     """Every pair of two inventories, scored, with tier and the rank of the model for its source."""
     a, b = folded(left), folded(right)
-    by = column_weights(a, b)
+    return _ranked(a, b, column_weights(a, b), weights, broadcast_rows)
+
+
+def _ranked(a: DataFrame, b: DataFrame, by: DataFrame, weights: dict[str, float], broadcast_rows: int) -> DataFrame:
+    small = b.count() <= broadcast_rows
     a, b = weighted(a, by), weighted(b, by)
-    b = F.broadcast(_side(b, "r")) if right.count() <= broadcast_rows else _side(b, "r")
+    b = F.broadcast(_side(b, "r")) if small else _side(b, "r")
     rows = score_pairs(_side(a, "l").crossJoin(b), weights)
     w = W.partitionBy("l_asset_id").orderBy(F.desc("score"), "r_asset_id")
     rows = rows.withColumns({"rank": F.row_number().over(w), "tier": tier(F.col("score"))})
     return rows.withColumn("bucket", bucket(F.col("tier")))
 
 
+def compare_lists(embedded: DataFrame, models: DataFrame, published: DataFrame, weights: dict[str, float] = WEIGHTS, broadcast_rows: int = 100_000) -> DataFrame:
+    """The pairs of compare for each of two target lists (``target``: model or published), ranked in each; one table of column weights for all."""
+    a, lists = folded(embedded), {"model": folded(models), "published": folded(published)}
+    by = column_weights(a, *lists.values())
+    found = [_ranked(a, b, by, weights, broadcast_rows).withColumn("target", F.lit(target)) for target, b in lists.items()]
+    return found[0].unionByName(found[1])
+
+
+def cluster_scores(clusters: DataFrame, embedded: DataFrame, scored: DataFrame) -> DataFrame:
+    """(cluster_id, size, representative, and id, score, tier and bucket of its best model and published asset).
+
+    The representative is the first member with the name of the one with most fields. An
+    id is null where the best score is 0; all four are where the list is empty.
+    """
+    members = clusters.join(embedded.select("asset_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce(F.size("fields"), F.lit(0)).alias("n")), "asset_id")
+    fullest = F.first("name").over(W.partitionBy("cluster_id").orderBy(F.desc("n"), "asset_id"))
+    out = members.withColumn("fullest", fullest).where("name = fullest").groupBy("cluster_id", "size").agg(F.min("asset_id").alias("representative"))
+    for target in ("model", "published"):
+        best = scored.where((F.col("target") == target) & (F.col("rank") == 1))
+        best = best.select(F.col("l_asset_id").alias("representative"), F.when(F.col("score") > 0, F.col("r_asset_id")).alias(f"{target}_id"), *[F.col(c).alias(f"{target}_{c}") for c in ("score", "tier", "bucket")])
+        out = out.join(best, "representative", "left")
+    return out
+
+
+_NAMED = T.MapType(T.StringType(), T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())]))
+
+
+def named_fields(inventory: DataFrame) -> DataFrame:
+    """asset_id and named: the name and type of the first field of each token."""
+
+    @F.pandas_udf(_NAMED)  # type: ignore[call-overload]
+    def run(fields: pd.Series) -> pd.Series:
+        out = []
+        for fs in fields:
+            own: dict[str, dict[str, str]] = {}
+            for f in fs if fs is not None else []:
+                if t := token(f["name"]):
+                    own.setdefault(t, {"name": f["name"], "type": f["type"] or ""})
+            out.append(own)
+        return pd.Series(out)
+
+    return inventory.select("asset_id", run("fields").alias("named"))
+
+
+def field_diff(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Of each pair of compare: names of shared, one-sided and mistyped fields, and the shared and one-sided tables."""
+    rows = pairs.select("l_asset_id", "r_asset_id", "l_tables", "r_tables", "source_compared")
+    for df, side in ((left, "l"), (right, "r")):
+        rows = rows.join(_side(named_fields(df), side), f"{side}_asset_id")
+    names = lambda side, keys: F.array_sort(F.transform(keys, lambda k: F.element_at(f"{side}_named", k)["name"]))
+    l_keys, r_keys = F.map_keys("l_named"), F.map_keys("r_named")
+    shared = F.array_intersect(l_keys, r_keys)
+    both = F.transform(shared, lambda k: F.struct(F.element_at("l_named", k)["name"].alias("column"), F.element_at("l_named", k)["type"].alias("l_type"), F.element_at("r_named", k)["type"].alias("r_type")))
+    return rows.select(
+        "l_asset_id", "r_asset_id", names("l", shared).alias("shared"), names("l", F.array_except(l_keys, r_keys)).alias("left_only"), names("r", F.array_except(r_keys, l_keys)).alias("right_only"),
+        F.array_sort(F.filter(both, lambda x: ~type_compatible(x["l_type"], x["r_type"]))).alias("type_mismatches"), "source_compared",
+        *[F.array_sort(x).alias(n) for x, n in ((F.array_intersect("l_tables", "r_tables"), "shared_tables"), (F.array_except("l_tables", "r_tables"), "left_only_tables"), (F.array_except("r_tables", "l_tables"), "right_only_tables"))],
+    )
+
+
 def best_matches(pairs: DataFrame) -> DataFrame:
     """The best model of each source, with margin, reciprocity, contest, logic parity and confidence."""
     w = W.partitionBy("l_asset_id")

@@ -147,3 +147,30 @@ def test_a_long_chain_is_one_cluster(spark):
     apart = chain(spark, 45).where("asset_id not in ('a42', 'a43')")  # a44 shares too little with a41
     got = {r.asset_id: (r.cluster_id, r["size"]) for r in cmp.cluster(apart).collect()}
     assert got == {**{f"a{i:02d}": ("a00", 42) for i in range(42)}, "a44": ("a44", 1)}
+
+
+def test_two_target_lists_share_one_weight_table(spark):
+    left, models = inventories(spark)
+    published = chain(spark, 5).unionByName(left.where("asset_id = 's2'").withColumn("asset_id", F.lit("p2")))
+    scored = cmp.compare_lists(left, models, published)
+    scores = lambda df: {(r.l_asset_id, r.r_asset_id): r.score for r in df.collect()}
+    assert scores(scored) == scores(cmp.compare(left, models.unionByName(published)))  # one document frequency over all assets
+    assert scores(scored.where("target = 'model'")) != scores(cmp.compare(left, models))
+    firsts = {(r.l_asset_id, r.target) for r in scored.where("rank = 1").collect()}
+    assert firsts == {(f"s{i}", t) for i in range(1, 5) for t in ("model", "published")}
+    copy = left.where("asset_id = 's2'").withColumns({"asset_id": F.lit("s0"), "name": F.lit("other"), "fields": F.slice("fields", 1, 3)})
+    more = left.unionByName(copy)
+    got = {r.cluster_id: r for r in cmp.cluster_scores(cmp.cluster(more), more, cmp.compare_lists(more, models, published.where("asset_id = 'p2'"))).collect()}
+    assert got["s0"]["size"] == 2 and got["s0"].representative == "s0" and got["s0"].model_id == "m2" and got["s0"].published_id == "p2" and got["s0"].published_bucket == "already_exists"
+    assert got["s1"].model_id == "m1" and got["s1"].published_tier == "None" or got["s1"].published_id is None
+    none = {r.cluster_id: r for r in cmp.cluster_scores(cmp.cluster(left), left, cmp.compare_lists(left, models, published.where("false"))).collect()}
+    assert none["s1"].published_id is None and none["s1"].published_tier is None and none["s1"].model_tier is not None
+
+
+def test_field_diff(spark):
+    schema = "asset_id string, name string, fields array<struct<name string, type string>>, tables array<struct<connector string, database string, name string>>, calcs array<string>"
+    left = spark.createDataFrame([("s", "x", [("Order Ref", "STRING"), ("Amt", "REAL"), ("Old", "DATE"), ("amt", "STRING")], [("mysql", "d", "Orders"), ("mysql", "d", "Gone")], [])], schema)
+    right = spark.createDataFrame([("m", "x", [("order_ref", "string"), ("AMT", "string"), ("New", "")], [("mysql", "d", "orders"), ("mysql", "d", "Added")], [])], schema)
+    r = cmp.field_diff(cmp.compare(left, right), left, right).first()
+    assert r.shared == ["Amt", "Order Ref"] and r.left_only == ["Old"] and r.right_only == ["New"] and [tuple(x) for x in r.type_mismatches] == [("Amt", "REAL", "string")]
+    assert r.shared_tables == ["orders"] and r.left_only_tables == ["gone"] and r.right_only_tables == ["added"] and r.source_compared
