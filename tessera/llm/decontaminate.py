@@ -12,7 +12,8 @@ a proximity match. Candidates are then compared word for word with the text.
 
 Everything is DataFrame functions. The chosen terms are broadcast only while there are at
 most ``broadcast_rows`` of them; above that they are joined by shuffle. Null texts have no
-words. Null items and repeated items are fine; an item is its id. Documents that repeat an
+words. Repeated items are fine; an item is its id. The words of an item without an id hit too,
+but no list of items names it. Documents that repeat an
 id are told apart by a hash of their text, and repeated rows each get a result row. Empty
 tables give no rows, and an empty benchmark marks nothing. Other columns are ignored.
 """
@@ -36,7 +37,7 @@ def _sized(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """k (a hash of the item's words), item_id, and s, n, term, j for each word j of each window starting at s."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.xxhash64("item_id", "words").alias("k")).dropDuplicates(["k"])
     starts = items.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("s"))
     return starts.select("k", "item_id", "s", F.slice("words", F.col("s") + 1, F.lit(width)).alias("window"))
@@ -102,7 +103,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest
     hits = F.filter("phrases", lambda p: F.slice("words", p["at"] + 1, F.size(p["window"])) == p["window"])
     rows = rows.select("doc_id", "near", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.expr("cast(array() as array<struct<item:string,at:int,window:array<string>>>)")).alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["at"], p["at"] + F.size(p["window"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda p: p["item"])))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda p: p["item"]))))
     rows = rows.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"), F.array_sort(F.array_except(F.coalesce("near", F.array().cast("array<string>")), items)).alias("near_items"))
     return rows.select("*", ((F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -344,6 +344,16 @@ def test_decontamination_matches_brute_force(spark, docs, rows, empty, vocabular
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, benchmark.where("false")).collect())
 
 
+def test_items_without_an_id_still_hit(spark, docs, rows):
+    text = " ".join(words(rows[3][1])[:20])
+    benchmark = spark.createDataFrame([(None, text), (None, "x"), (2, "x")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    named = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark.withColumn("item_id", F.lit(1))).collect()}
+    assert got[3].n_hit == named[3].n_hit >= 20 and got[3].contaminated and got[3]["items"] == [] and got[3].near_items == []
+    assert got[203]["items"] == ["2"] and got[203].contaminated
+    assert 3 not in {r.doc_id for r in decontaminate.keep_clean(docs, benchmark.where("item_id is null")).collect()}
+
+
 def test_proximity_matches(spark):
     benchmark = spark.createDataFrame([(1, "alpha bravo charlie delta echo")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha bravo charlie delta echo y"), (2, "alpha one bravo two charlie three delta echo"), (3, "alpha bravo")], "doc_id long, text string")
