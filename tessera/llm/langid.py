@@ -87,29 +87,30 @@ def _sparse_vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "key", "codes", "counts"])
 
 
-def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2048, features: int = 4096, per_lang: int = 3, rounds: int = 12, max_langs: int = 256) -> Centroids | None:
+def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2048, features: int = 4096, per_lang: int = 3, rounds: int = 12, least_rows: int = 8) -> Centroids | None:
     """Fit on a bounded sample of labelled rows: about ``sample_rows`` in all, an equal share for each language.
 
-    The sample is the rows whose hashed id falls under the language's share, so it doesn't
-    depend on partitioning; only sparse vectors of whole texts reach the driver, from at
-    most twice ``sample_rows`` rows. Of more than ``max_langs`` labels, the most frequent
-    ones are learned.
+    The sample is the rows whose hashed id falls under the language's share, and the lowest
+    one of each, so it doesn't depend on partitioning and every label is learned. With many
+    labels it grows to ``least_rows`` for each. Only sparse vectors of whole texts reach the
+    driver, from at most twice the sample's rows.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(unit).alias("lowest")).orderBy("lang").collect()
     if not counts:
         return None
+    sample_rows = max(sample_rows, least_rows * len(counts))
     share = sample_rows / len(counts)
-    unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
-    sample = known.where(unit < most[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["lowest"], min(1.0, share / r["n"])))])
+    sample = known.where(unit <= most[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     vectors = sample.mapInArrow(_sparse_vectors, "lang string, key long, codes array<int>, counts array<int>").limit(2 * sample_rows).toArrow()
     vectors = vectors.take(pa.compute.sort_indices(vectors, sort_keys=[("key", "ascending"), ("lang", "ascending")]))  # the fit depends on no partition's order
     langs = np.array(vectors.column("lang").to_pylist(), object)
     if not len(langs):
         return None
     codes = vectors.column("codes").combine_chunks()
-    row = np.repeat(np.arange(len(langs)), np.diff(codes.offsets.to_numpy()))
+    at = codes.offsets.to_numpy() - codes.offsets[0].as_py()
     code = codes.flatten().to_numpy()
     count = vectors.column("counts").combine_chunks().flatten().to_numpy()
     df = np.bincount(code, minlength=CODES)
@@ -118,12 +119,14 @@ def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "
     feature = np.full(CODES, features, np.int32)
     feature[chosen] = np.arange(len(chosen), dtype=np.int32)
     idf = (np.log((1 + len(langs)) / (1 + np.concatenate([df[chosen], np.zeros(features - len(chosen))]))) + 1).astype(np.float32)
-    x = np.zeros((len(langs), features + 1), np.float32)
-    x[row, feature[code]] = count
-    x = _unit(np.log1p(x[:, :features]) * idf)
     centroids, names, least = [], [], []
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
+    labels, label = np.unique(langs, return_inverse=True)
+    for lang, rows in zip(labels, np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])):
+        n = at[rows + 1] - at[rows]
+        take = np.repeat(at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        own = np.zeros((len(rows), features + 1), np.float32)
+        own[np.repeat(np.arange(len(rows)), n), feature[code[take]]] = count[take]
+        own = _unit(np.log1p(own[:, :features]) * idf)
         own = own[np.linalg.norm(own, axis=1) > 0]
         if not len(own):
             continue

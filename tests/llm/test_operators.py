@@ -383,6 +383,16 @@ def test_language_of_edge_cases(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
 
 
+def test_every_label_is_learned(spark):
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + 7 * i % 26)
+    rows = [(1000 * i + k, " ".join([word(i)] * 20), f"l{i:03d}") for i in range(300) for k in range(1 if i % 3 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_centroids(docs)
+    assert len(set(model.langs)) == 300
+    wrong = langid.identify(docs, model).join(docs, "doc_id").where("lang != lang_pred").count()
+    assert wrong == 0
+
+
 # -- 10 ----------------------------------------------------------------------------------------
 
 
