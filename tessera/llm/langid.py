@@ -4,7 +4,8 @@ Trigrams are taken over the UTF-8 bytes of the whole text, folded to 32 classes
 without case, one class for all other ASCII, five for the rest). A text's vector is
 log(1 + count) times inverse document frequency; it is compared by cosine with several
 spherical k-means centroids of each language. A text whose best cosine lies under a share
-of what the centroid's own members reach is rejected.
+of what the centroid's own members reach is rejected, if it has enough trigrams for the
+cosine to mean something; a shorter one stays.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected. Without any
 labelled row every text is ``und``. Empty tables give no rows; repeated rows are each
@@ -148,8 +149,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def predict(column, model: Centroids | None, reject_share: float = 0.35, block: int = 256):
-    """lang, score and rejected of each text of an Arrow string column."""
+def predict(column, model: Centroids | None, reject_share: float = 0.35, block: int = 256, enough: int = 64):
+    """lang, score and rejected of each text of an Arrow string column; a text of under ``enough`` trigrams with a letter isn't rejected by its score."""
     n = len(column)
     if not n:
         return [], np.zeros(0), np.zeros(0, bool)
@@ -158,6 +159,8 @@ def predict(column, model: Centroids | None, reject_share: float = 0.35, block:
     langs, score, rejected = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
     if model is None:
         return langs.tolist(), score, rejected
+    lettered = np.concatenate([[0], np.cumsum(codes > 0)])
+    short = lettered[np.maximum(at[:-1], at[1:] - 2)] - lettered[at[:-1]] < enough
     feature, width, names = model.feature[codes], len(model.idf), np.array(model.langs, object)
     for first in range(0, n, block):
         last = min(n, first + block)
@@ -170,6 +173,7 @@ def predict(column, model: Centroids | None, reject_share: float = 0.35, block:
         langs[first:last] = names[best]
         score[first:last] = np.clip(top, 0, 1)
         rejected[first:last] = top < reject_share * model.least[best]
+    rejected &= ~short
     langs[none], score[none], rejected[none] = "und", 0.0, True
     return langs.tolist(), score, rejected
 

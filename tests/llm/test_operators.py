@@ -393,6 +393,13 @@ def test_every_label_is_learned(spark):
     assert wrong == 0
 
 
+def test_short_clean_texts_stay(spark, docs):
+    model = langid.fit_centroids(langid.training_rows(docs))
+    texts = ["Hi", "OK", "Von.", "zzzyx", "Ж", "你好", "", "12", "@#zqxw" * 40]
+    kept = langid.keep_identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
 # -- 10 ----------------------------------------------------------------------------------------
 
 
