@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -15,13 +16,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words of letters, digits and non-ASCII characters, once A-Z are lower case.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode only; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,26 +40,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
     A lost executor then costs a re-read, never a recomputation of what led here. The
-    folder is removed when the driver's Python ends.
+    folder is removed by ``discard``, by ``release_tables`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+        atexit.register(_remove_at_exit)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stage_path = path
+    return table
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may have ended first; the cluster's own clean-up then applies
-            return
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stage tables that nothing reads any more: what was made from them is written itself."""
+    for table in tables:
+        if getattr(table, "stage_path", None) in _written:
+            _remove(table.stage_path)
+
+
+def release_tables() -> None:
+    """Remove all stage tables of this session. Results that were returned but not yet written need them: write those first."""
+    for path in list(_written):
+        _remove(path)
+
+
+def _remove_at_exit() -> None:
+    try:
+        release_tables()
+    except Exception:  # the JVM may have ended first; the cluster's own clean-up then applies
+        return
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +90,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """A table's columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII text takes the byte-wise ``lower``; the rest is translated."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

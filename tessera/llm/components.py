@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame):
@@ -30,12 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        first_low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = both.where(F.col("v") > F.col("u")).join(first_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large-star")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(edges, large, first_low, low)
+        edges = after
         was, state = state, _state(edges)
         if was == state:
             break

@@ -2,61 +2,87 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is
 ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.
-Corpus frequencies of the test terms are counted first; a window with a term that no
-document has is dropped. Of each remaining window the ``rarest`` terms are chosen, and the
-postings (term, document, position) of those terms in all documents are stored. Lists are
-intersected after taking each term's offset in its item from its position: postings of one
-alignment (document, item, start) come together, and a window whose chosen terms all align
-is a candidate phrase; one whose chosen terms lie within ``slop`` words of their places is
-a proximity match. Candidates are then compared word for word with the text.
-
-Everything is DataFrame functions. The chosen terms are broadcast only while there are at
-most ``broadcast_rows`` of them; above that they are joined by shuffle. Null texts have no
-words. Repeated items are fine; an item is its id. The words of an item without an id hit too,
-but no list of items names it. Documents that repeat an
-id are told apart by a hash of their text, and repeated rows each get a result row. Empty
+
+1. The texts are split into words once, and the postings (term, document, position) of every
+   word that the benchmark has are stored. All else works on them and never on texts.
+2. Frequencies come from the postings; a window with a term that no document has is dropped,
+   and of each remaining window the ``rarest`` terms are chosen.
+3. Their lists are intersected after taking each term's offset in its item from its position:
+   postings of one alignment (document, item, start) come together, and a window whose chosen
+   terms all align is a candidate phrase; one whose chosen terms lie within ``slop`` words of
+   their places is a proximity match. A document with too few of an item's terms is left out
+   before anything is sorted.
+4. Candidates are compared place by place with the postings.
+
+Terms are 64-bit hashes in the index, under a seed at which no two words of the benchmark
+collide. Everything is DataFrame functions. What comes from the benchmark or from candidates
+is broadcast only while its measured size is at most ``broadcast_bytes``; above that it is
+joined by shuffle. Null texts have no words. Repeated items are fine; an item is its id. The
+words of an item without an id hit too, but no list of items names it. Documents that repeat
+an id are told apart by a hash of their text, and repeated rows each get a result row. Empty
 tables give no rows, and an empty benchmark marks nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lower_ascii, materialize, plain_words
 
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
+
 
 def _words(text: Column) -> Column:
     return plain_words(lower_ascii(text))
 
 
-def _sized(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+def _sized(df: DataFrame, limit: int, size: Column) -> DataFrame:
+    """df to be broadcast if the summed size of its rows in bytes is at most ``limit``."""
+    total = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= limit else df
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """k (a hash of the item's words), item_id, and s, n, term, j for each word j of each window starting at s."""
+    """k (a hash of the item's words), item_id, s (start) and window (its words) of every window."""
     items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.xxhash64("item_id", "words").alias("k")).dropDuplicates(["k"])
     starts = items.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("s"))
     return starts.select("k", "item_id", "s", F.slice("words", F.col("s") + 1, F.lit(width)).alias("window"))
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, item_id, at, window, exact): candidate phrases at document word ``at`` (exact) and proximity matches (not exact).
+@dataclass
+class Index:
+    """windows: k, item_id, s, terms (hashes). postings: doc_id, th, n_words, pos, term of every benchmark word in every text."""
 
-    th is the hash that tells documents of one id apart. A candidate phrase has still to be
-    compared word for word.
-    """
+    windows: DataFrame
+    postings: DataFrame
+    limit: int
+
+
+def build_index(docs: DataFrame, benchmark: DataFrame, width: int, broadcast_bytes: int, id_col: str, text_col: str) -> Index:
+    """The stored postings; th is the hash that tells documents of one id apart."""
     windows = materialize(benchmark_windows(benchmark, width), "windows")
+    vocabulary = materialize(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    seed = 0
+    while vocabulary.groupBy(F.xxhash64("word", F.lit(seed)).alias("term")).count().where("count > 1").limit(1).count():
+        seed += 1
+    hashed = windows.select("k", "item_id", "s", F.transform("window", lambda w: F.xxhash64(w, F.lit(seed))).alias("terms"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), _words(F.col(text_col)).alias("words"))
-    vocabulary = materialize(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary")
-    # explode_outer: explode would add a filter on the words' number, and with it count them twice.
-    tokens = text.select(F.explode_outer("words").alias("term"))
-    frequency = tokens.join(_sized(vocabulary, vocabulary.count(), broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    frequency = materialize(frequency, "term-frequency")
-    terms = windows.select("k", "item_id", "s", F.size("window").alias("n"), F.posexplode("window").alias("o", "term")).join(frequency, "term")
+    # posexplode_outer: posexplode would add a filter on the words' number, and with it count them twice.
+    tokens = text.select("doc_id", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
+    known = _sized(vocabulary.select("word", F.xxhash64("word", F.lit(seed)).alias("term")), broadcast_bytes, F.octet_length("word") + 48)
+    postings = tokens.join(known, "word").select("doc_id", "th", "n_words", "pos", "term")
+    return Index(materialize(hashed, "hashed-windows"), materialize(postings, "postings"), broadcast_bytes)
+
+
+def find_matches(index: Index, rarest: int = 3, slop: int = 5) -> DataFrame:
+    """(doc_id, th, k, s, at, exact): candidate phrases at document word ``at`` (exact) and proximity matches (not exact)."""
+    frequency = materialize(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-frequency")
+    terms = index.windows.select("k", "s", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).join(frequency, "term")
     by_window = W.partitionBy("k", "s")
     chosen = (
         terms.withColumn("found", F.count(F.lit(1)).over(by_window)).where("found = n")
@@ -64,69 +90,76 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest:
         .select("k", "s", "term", (F.col("s") + F.col("o")).alias("j"))
     )
     chosen = materialize(chosen, "chosen-terms")
-    n_chosen = chosen.count()
-    places = chosen.groupBy("term").agg(F.collect_set(F.struct("k", "j")).alias("places"))
-    places = _sized(places, n_chosen, broadcast_rows)
-    # The index: postings of the chosen terms, with every text's position of them.
-    postings = text.select("doc_id", "th", F.posexplode_outer("words").alias("pos", "term")).join(places, "term")
-    postings = materialize(postings.select("doc_id", "th", "pos", "term"), "postings")
-    aligned = postings.join(places, "term").select("doc_id", "th", "pos", F.explode("places").alias("p"))
-    aligned = aligned.groupBy("doc_id", "th", "p.k", (F.col("pos") - F.col("p.j")).alias("delta")).agg(F.collect_set("p.j").alias("js"))
+    places = materialize(chosen.groupBy("term").agg(F.collect_set(F.struct("k", "j")).alias("places")), "places")
+    places = _sized(places, index.limit, 48 + 16 * F.size("places"))
+    needs = chosen.groupBy("k", "s").agg(F.collect_set("j").alias("need"))
+    needs = materialize(needs.groupBy("k").agg(F.collect_list(F.struct("s", "need")).alias("needs"), F.min(F.size("need")).alias("least")), "needs")
+    needs = _sized(needs, index.limit, 48 + 48 * F.size("needs"))
+    aligned = index.postings.join(places, "term").select("doc_id", "th", "pos", F.explode("places").alias("p"))
+    aligned = aligned.select("doc_id", "th", F.col("p.k").alias("k"), F.col("p.j").alias("j"), (F.col("pos") - F.col("p.j")).alias("delta"))
+    # A window's chosen terms stand at different places of the item, so two at least differ.
+    rich = aligned.groupBy("doc_id", "th", "k").agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("low"), F.max("j").alias("high")).join(needs.select("k", "least"), "k")
+    rich = materialize(rich.where((F.col("n") >= F.col("least")) & ((F.col("least") < 2) | (F.col("low") < F.col("high")))).select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.col("k").alias("r_k")), "rich-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")) & (F.col("k") == F.col("r_k"))
+    aligned = aligned.join(_sized(rich, index.limit, F.lit(64)), same, "left_semi")
+    aligned = aligned.groupBy("doc_id", "th", "k", "delta").agg(F.collect_set("j").alias("js"))
     near = W.partitionBy("doc_id", "th", "k").orderBy("delta").rangeBetween(-slop, slop)
     aligned = aligned.withColumn("near", F.array_distinct(F.flatten(F.collect_list("js").over(near))))
-    needs = chosen.groupBy("k", "s").agg(F.collect_set("j").alias("need"))
-    needs = needs.groupBy("k").agg(F.collect_list(F.struct("s", "need")).alias("needs"))
-    aligned = aligned.join(_sized(needs, n_chosen, broadcast_rows), "k")
-    found = aligned.select(
+    found = aligned.join(needs, "k").select(
         "doc_id", "th", "k", "delta", "js",
         F.explode(F.filter("needs", lambda w: F.size(F.array_except(w["need"], F.col("near"))) == 0)).alias("w"),
     )
     exact = (F.size(F.array_except("w.need", "js")) == 0) & (F.col("delta") + F.col("w.s") >= 0)
-    return found.select("doc_id", "th", "k", F.col("w.s").alias("s"), (F.col("delta") + F.col("w.s")).alias("at"), exact.alias("exact")).join(_sized(windows, windows.count(), broadcast_rows), ["k", "s"])
+    return materialize(found.select("doc_id", "th", "k", F.col("w.s").alias("s"), (F.col("delta") + F.col("w.s")).alias("at"), exact.alias("exact")), "matches")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, near_items.
+def contaminations(docs: DataFrame, benchmark: DataFrame, width: int, rarest: int, slop: int, ratio: int, broadcast_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __th, n_hit, items, near_items, contaminated) of the documents with a match of either kind."""
+    index = build_index(docs, benchmark, width, broadcast_bytes, id_col, text_col)
+    matches = find_matches(index, rarest, slop)
+    windows = _sized(index.windows, broadcast_bytes, 64 + 8 * F.size("terms"))
+    item = F.col("item_id").cast("string")
+    near = matches.join(windows.select("k", "s", "item_id"), ["k", "s"]).groupBy("doc_id", "th").agg(F.collect_set(item).alias("near"))
+    phrases = matches.where("exact").select("doc_id", "th", "k", "s", "at").distinct().join(windows, ["k", "s"])
+    phrases = phrases.select("doc_id", "th", "k", "s", "at", item.alias("item"), F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).withColumn("pos", F.col("at") + F.col("o"))
+    ids = matches.where("exact").select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct()
+    ids = _sized(materialize(ids, "candidates"), broadcast_bytes, F.lit(48))
+    postings = index.postings.join(ids, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left_semi")
+    # Repeated rows have equal postings.
+    postings = postings.select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term"), "n_words").distinct()
+    here = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")) & (F.col("pos") == F.col("p_pos")) & (F.col("term") == F.col("p_term"))
+    held = phrases.hint("merge").join(postings, here).groupBy("doc_id", "th", "k", "s", "at", "item", "n").agg(F.count(F.lit(1)).alias("same"), F.first("n_words").alias("n_words")).where("same = n")
+    places = F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))
+    held = held.groupBy("doc_id", "th").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.collect_set("item").alias("items"), F.first("n_words").alias("n_words"))
+    held = held.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), "n_hit", "items", "n_words")
+    both = near.join(held, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
+    none = F.array().cast("array<string>")
+    both = both.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"), "near", "n_words")
+    contaminated = F.coalesce((F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")), F.lit(False))
+    return materialize(both.select("__id", "__th", "n_hit", "items", F.array_sort(F.array_except("near", "items")).alias("near_items"), contaminated.alias("contaminated")), "contaminations")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs with doc_id, n_words, n_hit, items (sorted ids as strings), near_items, contaminated.
 
     A document word inside any occurrence of a window is hit; a document is contaminated if
     it has a hit and hits times ``ratio`` reach its words.
     """
-    found = find_matches(docs, benchmark, width, rarest, slop, broadcast_rows, id_col, text_col)
-    item = F.col("item_id").cast("string")
-    found = found.groupBy("doc_id", "th").agg(
-        F.collect_set(F.when(F.col("exact"), F.struct(item.alias("item"), "at", "window"))).alias("phrases"), F.collect_set(item).alias("near")
+    found = contaminations(docs, benchmark, width, rarest, slop, ratio, broadcast_bytes, id_col, text_col)
+    found = _sized(found, broadcast_bytes, 96 + F.octet_length(F.array_join("items", ",")) + F.octet_length(F.array_join("near_items", ",")))
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), n_words.alias("n_words"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "phrases", "near")
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    rows = text.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
-    rows = rows.select("doc_id", "near", "phrases", _words(F.col("text")).alias("words"))
-    hits = F.filter("phrases", lambda p: F.slice("words", p["at"] + 1, F.size(p["window"])) == p["window"])
-    rows = rows.select("doc_id", "near", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.expr("cast(array() as array<struct<item:string,at:int,window:array<string>>>)")).alias("hits"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["at"], p["at"] + F.size(p["window"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda p: p["item"]))))
-    rows = rows.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"), F.array_sort(F.array_except(F.coalesce("near", F.array().cast("array<string>")), items)).alias("near_items"))
-    return rows.select("*", ((F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, less the contaminated rows."""
     text = docs.select(F.col(id_col), F.col(text_col))
-    bad = decontaminate_ids(text, benchmark, id_col, text_col, **options)
+    found = contaminations(text, benchmark, width, rarest, slop, ratio, broadcast_bytes, id_col, text_col)
+    bad = _sized(found.where("contaminated").select("__id", "__th"), broadcast_bytes, F.lit(48))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
-
-
-def decontaminate_ids(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(__id, __th) of the contaminated documents."""
-    found = find_matches(docs, benchmark, width, rarest, slop, broadcast_rows, id_col, text_col).where("exact")
-    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "window")).alias("phrases"))
-    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "phrases"), "candidates")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    rows = docs.withColumn("th", F.xxhash64(text_col))
-    if (n := found.count()) <= broadcast_rows:  # else every text is shuffled to meet them
-        rows = rows.join(_sized(found.select("__id", "__th"), n, broadcast_rows), same, "left_semi")
-    rows = rows.join(found.hint("merge"), same)  # whole windows of every candidate: never broadcast
-    rows = rows.select("__id", "__th", "phrases", _words(F.col(text_col)).alias("words"))
-    hits = F.filter("phrases", lambda p: F.slice("words", p["at"] + 1, F.size(p["window"])) == p["window"])
-    covered = F.size(F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(p["at"], p["at"] + F.size(p["window"]) - 1)))))
-    rows = rows.select("__id", "__th", F.size("words").alias("n"), covered.alias("hit"))
-    return materialize(rows.where((F.col("hit") > 0) & (ratio * F.col("hit") >= F.col("n"))).select("__id", "__th").distinct(), "contaminated")

@@ -1,7 +1,8 @@
 """Language identification by nearest centroid over TF-IDF letter trigrams.
 
-Trigrams are taken over the UTF-8 bytes of the whole text, folded to 32 classes (letters
-without case, one class for all other ASCII, five for the rest). A text's vector is
+Trigrams are taken over the UTF-8 bytes of the whole text, with ASCII letters folded in case and
+all other ASCII in one class; the bytes of other scripts stay apart, so their letters tell
+languages too. Trigrams are hashed into a fixed number of features. A text's vector is
 log(1 + count) times inverse document frequency; it is compared by cosine with several
 spherical k-means centroids of each language. A text whose best cosine lies under a share
 of what the centroid's own members reach is rejected, if it has enough trigrams for the
@@ -25,18 +26,18 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import byte_offsets, small_batches
 
-CODES = 32**3
+#: Trigrams fall into this many features by a hash, of which the most frequent are used.
+CODES = 1 << 17
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros(256, np.int32)
+    """0 for ASCII without letters, 1 to 26 for its letters without case, and a class of its own for every other byte."""
+    out = np.zeros(256, np.int64)
     for b in range(256):
         if 65 <= b <= 90 or 97 <= b <= 122:
             out[b] = (b | 32) - 96
-        elif b >= 0xC0:
-            out[b] = 27
         elif b >= 0x80:
-            out[b] = 28 + (b & 31) % 4
+            out[b] = b - 0x80 + 27
     return out
 
 
@@ -62,13 +63,14 @@ def _codes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = CLASSES[data]
     codes = np.zeros(len(c), np.int32)
     if len(c) > 2:
-        codes[:-2] = (c[:-2] << 10) | (c[1:-1] << 5) | c[2:]
+        whole = (c[:-2] * 160 + c[1:-1]) * 160 + c[2:]
+        codes[:-2] = np.where(whole > 0, 1 + (whole * 0x9E3779B1 >> 8) % (CODES - 1), 0)  # code 0: no letter
     return codes, at, c
 
 
 def _texts_without_letters(column, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Rows that are null or have no letter of any script."""
-    ascii_letters = np.concatenate([[0], np.cumsum((classes > 0) & (classes < 27))])
+    ascii_letters = np.concatenate([[0], np.cumsum((classes > 0) & (classes < 27))])  # others are looked at one by one
     none = ascii_letters[at[1:]] == ascii_letters[at[:-1]]
     for i in np.flatnonzero(none):
         if any(ch.isalpha() for ch in column[int(i)].as_py() or ""):
@@ -91,13 +93,13 @@ def _sparse_vectors(batches):
 def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2048, features: int = 4096, per_lang: int = 3, rounds: int = 12, least_rows: int = 8) -> Centroids | None:
     """Fit on a bounded sample of labelled rows: about ``sample_rows`` in all, an equal share for each language.
 
-    The sample is the rows whose hashed id falls under the language's share, and the lowest
-    one of each, so it doesn't depend on partitioning and every label is learned. With many
-    labels it grows to ``least_rows`` for each. Only sparse vectors of whole texts reach the
-    driver, from at most twice the sample's rows.
+    The sample is the rows whose hash of id and text falls under the language's share, and the
+    lowest one of each, so it doesn't depend on partitioning and every label is learned; rows
+    equal in both are one. With many labels it grows to ``least_rows`` for each. Only sparse
+    vectors of whole texts reach the driver.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(unit).alias("lowest")).orderBy("lang").collect()
     if not counts:
         return None
@@ -105,7 +107,8 @@ def fit_centroids(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "
     share = sample_rows / len(counts)
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["lowest"], min(1.0, share / r["n"])))])
     sample = known.where(unit <= most[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    vectors = sample.mapInArrow(_sparse_vectors, "lang string, key long, codes array<int>, counts array<int>").limit(2 * sample_rows).toArrow()
+    sample = sample.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text", "key")  # the same row again adds nothing
+    vectors = sample.mapInArrow(_sparse_vectors, "lang string, key long, codes array<int>, counts array<int>").toArrow()
     vectors = vectors.take(pa.compute.sort_indices(vectors, sort_keys=[("key", "ascending"), ("lang", "ascending")]))  # the fit depends on no partition's order
     langs = np.array(vectors.column("lang").to_pylist(), object)
     if not len(langs):

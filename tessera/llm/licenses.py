@@ -1,11 +1,14 @@
 """License scan by ordered signature rules.
 
-A signature is a regular expression over the lower-cased text with a keyword, a priority
-and a score. A document is gated twice: by one expression of license cues, then by the
-keywords it holds; only rules of those keywords run. Where detections overlap, one that
-lies inside a detection of better priority (or of equal priority, and longer or earlier in
-the rules) is suppressed. Labels of the survivors join those of three base phrases, which
-are sought over words and always stay.
+A signature (signatures.py) is a regular expression over a text's normalised words, with a
+keyword, a priority and a score. A document is gated twice: by plain cues in the lower-cased
+text, then by the keywords its words hold; only rules of those keywords run. Where detections
+overlap, one that lies inside a detection of better priority (or of equal priority, and longer
+or earlier in the rules) is suppressed. Labels of the survivors join those of three base
+phrases, which are sought over the same words and always stay.
+
+Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; all spans are in words,
+from 0, end exclusive.
 
 All main-path work is DataFrame functions. Null and empty texts have no words and no labels;
 rows are scanned one by one, so repeated ids and rows are fine; empty tables give no rows;
@@ -17,165 +20,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, plain_words
+from tessera.llm.common import let, lower_ascii, plain_words
+from tessera.llm.signatures import CUES, rules
 from tessera.llm.spans import match_spans
 
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+LOWEST = 7
+
+
+def _blanks(piece: Column) -> Column:
+    return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
+
+
+def _word_spans(said: Column, pattern: Column) -> Column:
+    """Spans, in words, of a pattern over words that have a blank before and after each."""
+    return match_spans(said, F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )")), size=_blanks)
+
+
+def unsuppressed(hits: Column) -> Column:
+    """The detections that no better one holds, by start.
+
+    In order of start, longest first and then by priority and rule, whatever holds a detection
+    comes before it; so one sweep with the furthest end of each priority so far decides.
+    """
+    order = lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["order"].alias("order"), d["label"].alias("label"), d["score"].alias("score"), d["text"].alias("text"))
+    begin = F.struct(F.array_repeat(F.lit(-1), LOWEST + 1).alias("ends"), F.expr("cast(array() as array<struct<start:int,end:int,label:string,order:int,priority:int,score:double,text:string>>)").alias("kept"))
+
+    def step(acc: Column, d: Column) -> Column:
+        held = F.array_max(F.slice(acc["ends"], 1, d["priority"] + 1)) >= -d["back"]
+        ends = F.transform(acc["ends"], lambda e, i: F.when((i == d["priority"]) & (e < -d["back"]), -d["back"]).otherwise(e))
+        one = F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["label"].alias("label"), d["order"].alias("order"), d["priority"].alias("priority"), d["score"].alias("score"), d["text"].alias("text"))
+        return F.struct(ends.alias("ends"), F.when(held, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(one))).alias("kept"))
 
-_V = r"(?:,? ?(?:version|v\.?) ?)"
-#: label: (keyword that the lower-cased text must hold, expression of the license's name).
-NAMES: dict[str, tuple[str, str]] = {
-    "mit": ("mit", r"(?:the )?(?:mit|expat|x11)[ -](?:style )?licen[sc]e"),
-    "mit-0": ("mit", r"mit(?:-0| no attribution)(?: licen[sc]e)?"),
-    "apache-1.1": ("apache", rf"apache(?: software)? licen[sc]e{_V}?1\.1"),
-    "apache-2.0": ("apache", rf"apache(?: software)?(?: licen[sc]e)?{_V}? ?2(?:\.0)?\b"),
-    "apache": ("apache", r"apache(?: software)? licen[sc]e"),
-    "bsd-2-clause": ("bsd", r"(?:simplified bsd|freebsd|bsd[ -]2[ -]clause|2[ -]clause bsd|two[ -]clause bsd)(?: licen[sc]e)?"),
-    "bsd-3-clause": ("bsd", r"(?:new bsd|modified bsd|bsd[ -]3[ -]clause|3[ -]clause bsd|three[ -]clause bsd)(?: licen[sc]e)?"),
-    "bsd-4-clause": ("bsd", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd)(?: licen[sc]e)?"),
-    "0bsd": ("bsd", r"(?:0bsd|zero[ -]clause bsd)(?: licen[sc]e)?"),
-    "bsd": ("bsd", r"bsd(?:[ -]style)? licen[sc]e"),
-    "gpl-1.0": ("general public", rf"(?:gnu )?general public licen[sc]e{_V}1(?:\.0)?\b"),
-    "gpl-2.0": ("general public", rf"(?:gnu )?general public licen[sc]e{_V}2(?:\.0)?\b"),
-    "gpl-3.0": ("general public", rf"(?:gnu )?general public licen[sc]e{_V}3(?:\.0)?\b"),
-    "gpl-2.0-short": ("gpl", r"\b(?:gnu )?gpl[ -]?v?2(?:\.0)?\b"),
-    "gpl-3.0-short": ("gpl", r"\b(?:gnu )?gpl[ -]?v?3(?:\.0)?\b"),
-    "lgpl-2.0": ("gpl", r"\blgpl[ -]?v?2(?:\.0)?\b(?!\.1)"),
-    "lgpl-2.1": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V}2\.1"),
-    "lgpl-3.0": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V}3(?:\.0)?\b"),
-    "lgpl": ("lesser", r"(?:gnu )?lesser general public licen[sc]e"),
-    "lgpl-library": ("library", r"(?:gnu )?library general public licen[sc]e"),
-    "agpl-3.0": ("affero", rf"(?:gnu )?affero general public licen[sc]e(?:{_V}3(?:\.0)?\b)?"),
-    "gfdl": ("documentation", r"(?:gnu )?free documentation licen[sc]e(?:,? version 1\.[123])?"),
-    "mpl-1.1": ("mozilla", rf"mozilla public licen[sc]e{_V}?1\.1"),
-    "mpl-2.0": ("mozilla", rf"mozilla public licen[sc]e{_V}?2(?:\.0)?\b"),
-    "mpl": ("mozilla", r"mozilla public licen[sc]e"),
-    "epl-1.0": ("eclipse", rf"eclipse public licen[sc]e{_V}?(?:- ?v ?)?1(?:\.0)?\b"),
-    "epl-2.0": ("eclipse", rf"eclipse public licen[sc]e{_V}?(?:- ?v ?)?2(?:\.0)?\b"),
-    "edl": ("eclipse", r"eclipse distribution licen[sc]e"),
-    "cddl-1.0": ("common development", r"common development and distribution licen[sc]e(?:,? version 1\.0)?"),
-    "cddl-1.1": ("common development", r"common development and distribution licen[sc]e,? version 1\.1"),
-    "cpl-1.0": ("common public", r"common public licen[sc]e"),
-    "cpal": ("attribution", r"common public attribution licen[sc]e"),
-    "isc": ("isc", r"\bisc licen[sc]e"),
-    "zlib": ("zlib", r"zlib(?:/libpng)? licen[sc]e"),
-    "libpng": ("libpng", r"libpng licen[sc]e"),
-    "bsl-1.0": ("boost", r"boost software licen[sc]e(?:,? version 1\.0)?"),
-    "busl-1.1": ("business source", r"business source licen[sc]e(?: 1\.1)?"),
-    "sspl": ("server side", r"server side public licen[sc]e"),
-    "elastic-2.0": ("elastic", r"elastic licen[sc]e(?: 2\.0)?"),
-    "artistic-1.0": ("artistic", r"artistic licen[sc]e 1\.0"),
-    "artistic-2.0": ("artistic", r"artistic licen[sc]e 2\.0"),
-    "artistic": ("artistic", r"artistic licen[sc]e"),
-    "afl-3.0": ("academic", r"academic free licen[sc]e(?:,? v\. ?3\.0)?"),
-    "osl-3.0": ("open software", r"open software licen[sc]e(?:,? v\. ?3\.0)?"),
-    "eupl": ("european union", r"european union public licen[sc]e"),
-    "cecill": ("cecill", r"\bcecill(?:-[abc]|-2\.1)?\b"),
-    "ofl-1.1": ("font", r"(?:sil )?open font licen[sc]e(?:,? version 1\.1)?"),
-    "psf": ("python software", r"python software foundation licen[sc]e"),
-    "php": ("php", r"\bphp licen[sc]e"),
-    "ruby": ("ruby", r"\bruby licen[sc]e"),
-    "vim": ("vim", r"\bvim licen[sc]e"),
-    "ncsa": ("ncsa", r"(?:university of illinois/)?ncsa open source licen[sc]e"),
-    "openssl": ("openssl", r"openssl licen[sc]e"),
-    "unlicense": ("unlicense", r"\bunlicense\b"),
-    "wtfpl": ("wtfpl", r"\bwtfpl\b"),
-    "postgresql": ("postgresql", r"postgresql licen[sc]e"),
-    "ms-pl": ("microsoft", r"microsoft public licen[sc]e"),
-    "ms-rl": ("microsoft", r"microsoft reciprocal licen[sc]e"),
-    "odbl": ("database", r"open database licen[sc]e"),
-    "odc-by": ("attribution", r"open data commons attribution licen[sc]e"),
-    "pddl": ("public domain", r"public domain dedication (?:and|&) licen[sc]e"),
-    "public-domain": ("public domain", r"(?:in|into|to) the public domain"),
-    "cc0-1.0": ("cc0", r"\bcc0(?:[ -]1\.0)?\b"),
-    "cc-by-3.0": ("attribution", r"creative commons attribution 3\.0"),
-    "cc-by-4.0": ("attribution", r"creative commons attribution 4\.0"),
-    "cc-by-sa": ("attribution", r"creative commons attribution[ -]share[ -]?alike(?: [34]\.0)?"),
-    "cc-by-nc": ("attribution", r"creative commons attribution[ -]non[ -]?commercial(?: [34]\.0)?"),
-    "cc-by-nd": ("attribution", r"creative commons attribution[ -]no[ -]?deriv(?:ative)?s?(?: [34]\.0)?"),
-    "cc-by-nc-sa": ("attribution", r"creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike(?: [34]\.0)?"),
-    "cc-by-nc-nd": ("attribution", r"creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv(?:ative)?s?(?: [34]\.0)?"),
-    "cc-by-sa-short": ("cc", r"\bcc[ -]by[ -]sa(?:[ -][1-4]\.0)?\b"),
-    "cc-by-nc-short": ("cc", r"\bcc[ -]by[ -]nc(?:[ -][1-4]\.0)?\b"),
-    "cc-by-nd-short": ("cc", r"\bcc[ -]by[ -]nd(?:[ -][1-4]\.0)?\b"),
-}
-#: SPDX identifiers that are sought after the SPDX tag, besides the labels above.
-SPDX = ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0-only", "lgpl-3.0-or-later", "agpl-3.0-only", "agpl-3.0-or-later", "mpl-2.0", "epl-2.0", "isc", "zlib", "bsl-1.0", "unlicense", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "0bsd", "ofl-1.1", "wtfpl", "artistic-2.0", "postgresql", "psf-2.0", "eupl-1.2"]
-#: How a name is brought in: form, expression before the name, priority (lower is better), score.
-FORMS = [
-    ("grant", r"(?:is |are )?(?:licensed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?", 2, 0.95),
-    ("notice", r"(?:subject to|governed by|covered by|see|according to|in accordance with) (?:the )?(?:terms of )?(?:the )?", 3, 0.85),
-    ("field", r"licen[sc]e ?[:=] ?[\"']?(?:the )?", 3, 0.85),
-    ("name", r"", 5, 0.6),
-]
-#: Texts and places that name a license without its name: label, keyword, expression, priority, score.
-TEXTS = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 1, 1.0),
-    ("isc", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee", 1, 1.0),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification", 1, 1.0),
-    ("zlib", "express or implied", r"this software is provided 'as-is', without any express or implied warranty", 1, 1.0),
-    ("boost", "boost.org", r"https?://(?:www\.)?boost\.org/license_1_0\.txt", 4, 0.8),
-    ("apache-2.0", "apache.org", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0", 4, 0.8),
-    ("gpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?gpl[-.0-9]*", 4, 0.8),
-    ("lgpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?lgpl[-.0-9]*", 4, 0.8),
-    ("agpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/agpl[-.0-9]*", 4, 0.8),
-    ("mpl-2.0", "mozilla.org", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0", 4, 0.8),
-    ("cc-by", "creativecommons.org", r"https?://creativecommons\.org/licenses/by/[0-9.]+", 4, 0.8),
-    ("cc-by-sa", "creativecommons.org", r"https?://creativecommons\.org/licenses/by-sa/[0-9.]+", 4, 0.8),
-    ("cc-by-nc", "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc/[0-9.]+", 4, 0.8),
-    ("cc0-1.0", "creativecommons.org", r"https?://creativecommons\.org/publicdomain/zero/1\.0", 4, 0.8),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©|[0-9]{4})[^\n]{0,80}", 6, 0.4),
-    ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 6, 0.4),
-    ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 4, 0.8),
-    ("warranty", "warranty", r"without (?:any )?warranty(?: of any kind)?", 7, 0.2),
-]
-#: A text without any of these, in either case, has no detection and no base phrase. Words end where WORD
-#: ends, so an underscore separates them, which \b takes for a letter.
-CUES = r"(?i)licen[sc]|copyright|rights[^0-9a-z]+reserved|public domain|spdx|creative ?commons|proprietary|warranty|permission |redistribution|https?://|gpl|\bcc0|(?<![0-9a-z\x80-\x{10FFFF}])cc[^0-9a-z\x80-\x{10FFFF}]+by|cecill|wtfpl|0bsd|apache|bsd"
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, expression, priority, score) in order; a few hundred."""
-    out = list(TEXTS)
-    for i in SPDX:
-        out.append((i.removesuffix("-only").removesuffix("-or-later"), "spdx", rf"spdx-license-identifier: *(?:\([^)\n]*)?{i.replace('.', '[.]')}(?![-0-9a-z.])", 1, 1.0))
-    for _, lead, priority, score in FORMS:
-        for label, (keyword, name) in NAMES.items():
-            out.append((label.removesuffix("-short").removesuffix("-library"), keyword, lead + name, priority, score))
-    return out
-
-
-def _word_places(words: Column) -> Column:
-    """Spans, in words, of the base phrases over the words put together with blanks."""
-    said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    count = lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
-    return match_spans(said, " (?:" + "|".join(PHRASES) + ")(?= )", size=count)
+    return F.aggregate(F.array_sort(F.transform(hits, order)), begin, step, lambda acc: acc["kept"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, base (spans in words with the phrase), detections (spans in code points), labels, base_labels, score."""
+    """doc_id, n_words, base (spans of the base phrases), detections (spans with label, priority, score and text), labels, base_labels, score."""
     found = rules()
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,label:string,order:int,priority:int,score:double>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,label:string,order:int,priority:int,score:double,text:string>>)")
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,value:string>>)")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(CUES), lower_ascii(F.col("text"))).alias("low"))
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in found)])
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(e).alias("rule"), F.lit(i).alias("order"), F.lit(p).alias("priority"), F.lit(s).alias("score")) for i, (label, k, e, p, s) in enumerate(found)])
-    gated = F.col("low").isNotNull()
-    rows = rows.select("doc_id", "n_words", "low", F.when(gated, F.filter(keywords, lambda k: F.contains(F.col("low"), k))).alias("present"), F.when(gated, plain_words(F.col("low"))).alias("words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cue = F.lit(False)
+    for c in CUES:
+        cue = cue | F.contains(F.col("low"), F.lit(c))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))  # lower also folds other scripts; it serves the gate alone
+    said = F.concat(F.lit(" "), F.array_join(plain_words(lower_ascii(F.col("text"))), " "), F.lit(" "))
+    rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(cue, said).alias("said"))
+    by_keyword: dict[str, list] = {}
+    for i, (label, keyword, rule, priority, score) in enumerate(found):
+        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(rule).alias("rule"), F.lit(i).alias("order"), F.lit(priority).alias("priority"), F.lit(score).alias("score")))
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    gated = F.col("said").isNotNull()
+    chosen = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("said"), g["keyword"])), lambda g: g["rules"]))
     hits = F.flatten(
         F.transform(
-            F.filter(table, lambda r: F.array_contains("present", r["keyword"])),
-            lambda r: F.transform(match_spans(F.col("low"), r["rule"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["order"].alias("order"), r["priority"].alias("priority"), r["score"].alias("score"))),
+            chosen,
+            lambda r: F.transform(_word_spans(F.col("said"), r["rule"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["order"].alias("order"), r["priority"].alias("priority"), r["score"].alias("score"), F.trim(s["hit"]).alias("text"))),
         )
     )
-    rows = rows.select("doc_id", "n_words", F.when(F.size("present") > 0, hits).otherwise(empty).alias("hits"), F.when(gated, _word_places(F.col("words"))).otherwise(none).alias("base"))
-    size = lambda d: d["end"] - d["start"]
-    better = lambda e, d: (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & ((size(e) > size(d)) | ((size(e) == size(d)) & (e["order"] < d["order"]))))
-    held = lambda d: F.exists("hits", lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & better(e, d))
-    rows = rows.select("doc_id", "n_words", "base", F.array_sort(F.filter("hits", lambda d: ~held(d))).alias("detections"))
+    base = _word_spans(F.col("said"), F.lit("|".join(PHRASES)))
+    rows = rows.select("doc_id", "n_words", F.when(gated, let(hits, unsuppressed)).otherwise(empty).alias("detections"), F.when(gated, base).otherwise(none).alias("base"))
     label = F.create_map(*[F.lit(x) for p in PHRASES.items() for x in p])
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: label[F.trim(b["hit"])])))
     rows = rows.select("*", base_labels.alias("base_labels"))

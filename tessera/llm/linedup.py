@@ -3,15 +3,16 @@
 Each text is split into lines (at a newline) and each line into sentences (after a full
 stop, exclamation or question mark before a blank or the line's end, after other scripts'
 sentence marks, and at a blank after Thai, Lao, Burmese or Khmer, which have none). A unit is
-a line that isn't blank, or the sentences from one on until they have ``min_words`` words, so
-that a passage inside other lines is met wherever a sentence begins. A unit is normalised (case folded, white space runs
-to one blank, trimmed) and hashed to 128 bits. Digests are grouped over the whole table; the
-occurrence that ranks first, by id and then offset, is kept and every later one is removed,
-within one document too. Only runs have a least length, as short sentences recur by chance:
-``min_words`` words at white space, where two letters of a script written without blanks count
-as one word more. A passage inside a sentence, in a line without sentence marks too, is no
-unit. Offsets are those of the original text in code points, end
-exclusive; a removed line takes its newline along.
+a line, or the sentences from one on until they have ``min_words`` words, so that a passage
+inside other lines is met wherever a sentence begins. A unit is normalised (case folded, white
+space runs to one blank, trimmed) and hashed to 128 bits. Digests are grouped over the whole
+table; the occurrence that ranks first, by id and then offset, is kept and every later one is
+removed, within one document too. Lines of fewer than ``min_line_words`` words and fewer than
+``min_line_chars`` characters ("}", "Yes.") recur by chance in texts that share nothing else, and
+are no units; words are counted at white space, and two letters of a script written without
+blanks count as one word more. A passage inside a sentence, in a line without sentence marks
+too, is no unit. Offsets are those of the original text in code points, end exclusive; a
+removed line takes its newline along.
 
 A digest in a third of all rows is combined before it is shuffled, and its join partition
 can be split at run time. Null texts count as empty and lose nothing. Null ids rank last;
@@ -48,7 +49,7 @@ _STOP_ANY = re.compile(rf"[.!?]+(?:\s+|\Z)|[{_MARKS}][{_MARKS}.!?]*[{_CLOSING}]*
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-def split_units(text: str, min_line_words: int, min_words: int) -> list[tuple[int, int, bytes]]:
+def split_units(text: str, min_line_words: int, min_line_chars: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the lines and the sentence runs of a text that may be removed."""
     found, sentences, at = [], [], 0
     for line in text.split("\n"):
@@ -56,8 +57,9 @@ def split_units(text: str, min_line_words: int, min_words: int) -> list[tuple[in
         plain = line.isascii()
         words = line.casefold().split()
         if words:
-            if _size(words, line, plain) >= min_line_words:
-                found.append((at, stop, xxhash.xxh3_128_digest("\n" + " ".join(words))))
+            whole = " ".join(words)
+            if len(whole) >= min_line_chars or _size(words, line, plain) >= min_line_words:
+                found.append((at, stop, xxhash.xxh3_128_digest("\n" + whole)))
             first = 0
             for last in [*(m.end() for m in (_STOP if plain else _STOP_ANY).finditer(line)), len(line)]:
                 if last > first:
@@ -81,7 +83,7 @@ def _size(words: list[str], text: str, plain: bool) -> int:
     return len(words) + (0 if plain else len(_UNSPACED.findall(text)) // 2)
 
 
-def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: int, min_words: int) -> DataFrame:
+def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: int, min_line_chars: int, min_words: int) -> DataFrame:
     """(doc_id, th, units, again) of every row: each different unit at its first place, and the spans of its later ones.
 
     A later place in the same text is removed whatever else has the unit, so it needn't be
@@ -94,7 +96,7 @@ def hashed_units(docs: DataFrame, id_col: str, text_col: str, min_line_words: in
             offsets, starts, ends, digests, again = [0], [], [], [], []
             for t in utf8_rows(batch.column(2)):
                 seen, later = set(), []
-                for a, b, d in split_units(t.decode(), min_line_words, min_words):
+                for a, b, d in split_units(t.decode(), min_line_words, min_line_chars, min_words):
                     if d in seen:
                         later.append((a, b))
                         continue
@@ -133,9 +135,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 1, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4, min_line_chars: int = 20, min_words: int = 8) -> DataFrame:
     """doc_id, kept_text and removed (array of start, end in the original text) of every row."""
-    units = materialize(hashed_units(docs, id_col, text_col, min_line_words, min_words), "units")
+    units = materialize(hashed_units(docs, id_col, text_col, min_line_words, min_line_chars, min_words), "units")
     rows = units.select("doc_id", "th", F.explode("units").alias("u")).select("doc_id", "th", "u.start", "u.end", "u.d1", "u.d2")
     integral = isinstance(docs.schema[id_col].dataType, T.IntegralType)
     last = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")] if integral else [F.col("doc_id").isNull().alias("no_id"), "doc_id"]

@@ -6,17 +6,19 @@ words that separate the domains most. It gives every document a posterior over d
 Nonnegative document rates are then fitted by projected-gradient least squares so that
 expected tokens by domain (rate x posterior x tokens, summed) meet the targets. Each step
 is one aggregation over the cluster; the gradient is scaled by the inverse of the small
-domain-by-domain Gram matrix, and rates are projected to 0..max_rate. As a rate depends on
-the steps only through the few numbers of each step's gradient, it is recomputed from them
-where it is needed and no rate is stored or sent to the driver.
+domain-by-domain Gram matrix, of the documents whose rate can still move where that halves the
+distance and of all documents otherwise, and rates are projected to 0..max_rate. A rate depends on the
+steps only through the few numbers of each step's gradient, so none is sent to the driver.
+Steps go on until the targets are met or stand still; what stays unmet is reported.
 
 A document is emitted floor(rate) times, and once more with the fraction as probability,
 drawn from a hash of its id and text, so repeated rows get equal draws.
 
 All main-path work is DataFrame functions. Null and empty texts have no words and no tokens:
-their rate is that of their posterior, and they don't count towards targets. Domains without
-a labelled document are left out and the remaining targets scaled up; without any, every
-rate is 1. Empty tables give no rows. Other columns are carried along untouched.
+their rate is that of their posterior, and they don't count towards targets. Labelled rows with
+a null id or domain teach nothing. Domains without a labelled document are left out and the remaining targets scaled up; without any, every
+rate is 1. Empty tables give no rows. Other columns are carried along untouched, in a struct
+of their own, so no name clashes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, materialize, plain_words
+from tessera.llm.common import discard, lower_ascii, materialize, own_columns, plain_words
 
 SHAPES = ["symbols", "capitals", "digits", "variety", "word_length", "log_words"]
 
@@ -117,82 +119,117 @@ def _sum_of(vectors: Column, i: int) -> Column:
 
 @dataclass
 class Rates:
-    """The fitted steps: a document's rate is 1 moved by posterior . step for each in turn, each time projected."""
+    """The fitted steps: a document's rate is 1 moved by posterior . step for each in turn, each time projected.
+
+    expected and targets are tokens by domain; unmet is their largest distance as a share of
+    all tokens, above the tolerance where no rates from 0 to max_rate can meet the targets.
+    """
 
     steps: list[list[float]]
     max_rate: float
     expected: list[float]
     targets: list[float]
+    unmet: float = 0.0
 
 
-def rate_of(p: Column, rates: Rates) -> Column:
-    if not rates.steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.array(*map(F.lit, s)) for s in rates.steps])
+def _moved(rate: Column, p: Column, steps: list[list[float]], max_rate: float) -> Column:
+    if not steps:
+        return rate
+    moves = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.least(F.lit(rates.max_rate), F.greatest(F.lit(0.0), r + dot(g))))
+    return F.aggregate(moves, rate, lambda r, g: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r + dot(g))))
+
+
+def rate_of(p: Column, rates: Rates) -> Column:
+    return _moved(F.lit(1.0), p, rates.steps, rates.max_rate)
 
 
-def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, float], max_rate: float = 8.0, most_steps: int = 25, tolerance: float = 1e-6) -> Rates:
+def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, float], max_rate: float = 8.0, tolerance: float = 1e-6, patience: int = 8, least_gain: float = 1e-3) -> Rates:
     """Projected gradient on half the squared distance of expected domain tokens from their targets.
 
-    posteriors: __p and __tokens of each document. Targets are shares of all tokens.
+    posteriors: __p and __tokens of each document. Targets are shares of all tokens. It ends
+    when the targets are met to ``tolerance``, or when ``patience`` steps have brought them
+    nearer by less than ``least_gain`` of the distance: then bounds on the rates keep them unmet.
+    Rates are written every ``patience`` steps, so a step replays only those since.
     """
     k = len(model.domains)
     p = [F.get("__p", F.lit(i)) for i in range(k)]
     tokens = F.col("__tokens").cast("double")
-    first = posteriors.agg(*[F.coalesce(F.sum(tokens * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)], F.coalesce(F.sum(tokens), F.lit(0.0)).alias("total")).first()
-    gram = np.array([[first[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
+    free = (F.col("r") > 0) & (F.col("r") < max_rate)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    sums = [F.sum(F.col("r") * tokens * p[i]).alias(f"m{i}") for i in range(k)] + [F.sum(F.when(free, tokens * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs]
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
-    if not first["total"] or not share.sum():
+    total = posteriors.agg(F.coalesce(F.sum(tokens), F.lit(0.0))).first()[0]
+    if not total or not share.sum():
         return Rates([], max_rate, [], [])
-    want = share / share.sum() * first["total"]
-    scale = np.linalg.pinv(gram, rcond=1e-9)
+    want = share / share.sum() * total
     rates = Rates([], max_rate, [], want.tolist())
+    state, pending = posteriors.select("__p", "__tokens", F.lit(1.0).alias("__r")), []
+
+    def measure() -> tuple[np.ndarray, np.ndarray]:
+        """How far the expected tokens are from the targets, and the Gram matrix of the rates that can move."""
+        r = _moved(F.col("__r"), F.col("__p"), pending, max_rate)
+        now = state.select(r.alias("r"), "__p", "__tokens").agg(*sums).first()
+        return want - np.array([float(now[f"m{i}"]) for i in range(k)]), np.array([[now[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
+
+    short, gram = measure()
+    scale = np.linalg.pinv(gram, rcond=1e-9)  # every rate is 1 at the start, so all can move
+    distance = lambda e: float(e @ scale @ e)
+    path = []
     while True:
-        r = rate_of(F.col("__p"), rates)
-        now = posteriors.select(r.alias("r"), "__p", "__tokens").agg(*[F.sum(F.col("r") * tokens * p[i]).alias(f"m{i}") for i in range(k)]).first()
-        rates.expected = [float(now[f"m{i}"]) for i in range(k)]
-        short = want - np.array(rates.expected)
-        if np.abs(short).max() <= tolerance * first["total"] or len(rates.steps) >= most_steps:
+        rates.expected, rates.unmet = (want - short).tolist(), float(np.abs(short).max() / total)
+        path.append(distance(short))
+        if rates.unmet <= tolerance or (len(path) > patience and path[-1] > (1 - least_gain) * path[-1 - patience]):
+            discard(state)
             return rates
-        rates.steps.append((scale @ short).tolist())
-
-
-def draws(id_col: str, text_col: str, rate: Column) -> Column:
-    """How often a document is emitted."""
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-
-
-def fit(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float = 8.0, fit_rows: int = 20_000):
-    """(model, rates, table): table has doc_id, p, tokens, rate and copies of every row of docs."""
+        # A step scaled by all documents always leads nearer; one scaled by those that can move
+        # leads there in few steps once the others stay at their bounds, but must prove it.
+        done = False
+        if len(path) > 1 and gram.any():
+            pending.append((np.linalg.pinv(gram, rcond=1e-9) @ short).tolist())
+            tried, tried_gram = measure()
+            done = distance(tried) < 0.5 * path[-1]
+            if done:
+                short, gram = tried, tried_gram
+            else:
+                pending.pop()
+        if not done:
+            pending.append((scale @ short).tolist())
+            short, gram = measure()
+        rates.steps.append(pending[-1])
+        if len(pending) == patience:
+            before, state = state, materialize(state.select("__p", "__tokens", _moved(F.col("__r"), F.col("__p"), pending, max_rate).alias("__r")), "rates")
+            discard(before)
+            pending = []
+
+
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float = 8.0, fit_rows: int = 20_000, carry: bool = False):
+    """(model, rates, table): table has doc_id, p, tokens, rate and copies of every row of docs, and the row itself if ``carry``."""
+    row = [F.struct(*own_columns(docs)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *row)
+    keep = ["row"] * carry
     model = fit_domains(docs, labels, domain, id_col, text_col, fit_rows)
     if model is None:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.expr("cast(array() as array<double>)").alias("p"), F.size(plain_words(lower_ascii(F.col(text_col)))).cast("long").alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-        return None, Rates([], max_rate, [], []), rows
-    rows = with_posteriors(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), model, "__text")
-    unit = F.xxhash64("__id", "__text").alias("__draw")
-    table = materialize(rows.select("__id", unit, "__p", "__tokens"), "posteriors")
+        tokens = F.size(plain_words(lower_ascii(F.col("__text")))).cast("long")
+        return None, Rates([], max_rate, [], []), rows.select(F.col("__id").alias("doc_id"), F.expr("cast(array() as array<double>)").alias("p"), tokens.alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *keep)
+    table = with_posteriors(rows, model, "__text").select("__id", F.xxhash64("__id", "__text").alias("__draw"), "__p", "__tokens", *keep)
+    table = materialize(table, "posteriors")  # texts are scored once; whole rows are written along where they are carried
     rates = fit_rates(table, model, targets, max_rate)
-    rate = rate_of(F.col("__p"), rates)
-    table = table.select(F.col("__id").alias("doc_id"), F.col("__p").alias("p"), F.col("__tokens").alias("tokens"), rate.alias("rate"), "__draw")
     part = F.pmod("__draw", F.lit(1 << 30)) / float(1 << 30)
+    table = table.withColumn("rate", rate_of(F.col("__p"), rates))
     copies = (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return model, rates, table.withColumn("copies", copies).drop("__draw")
+    return model, rates, table.select(F.col("__id").alias("doc_id"), F.col("__p").alias("p"), F.col("__tokens").alias("tokens"), "rate", copies.alias("copies"), *keep)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float = 8.0, fit_rows: int = 20_000) -> DataFrame:
     """docs, with their own columns, each row as often as its rate says."""
-    model, rates, _ = fit(docs, labels, domain, targets, id_col, text_col, max_rate, fit_rows)
+    model, rates, table = fit(docs, labels, domain, targets, id_col, text_col, max_rate, fit_rows, carry=True)
     if model is None or not rates.steps:
         return docs
-    rows = with_posteriors(docs, model, text_col)
-    rows = rows.withColumn("__rate", rate_of(F.col("__p"), rates)).withColumn("__copies", draws(id_col, text_col, F.col("__rate")))
     # Rows without a copy go after the explode: a condition on the copies themselves would be
-    # pushed below every step above, with all of them written out in it.
-    rows = rows.withColumn("__copy", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))))
-    return rows.where(F.col("__copy").isNotNull()).select(*docs.columns)
+    # pushed below the steps above, with all of them written out in it.
+    rows = table.select("row", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))).alias("copy"))
+    return rows.where(F.col("copy").isNotNull()).select("row.*")
 
 
 #: Shares of tokens that the registered query and the pipeline aim at, by domain of the labels table.

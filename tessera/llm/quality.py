@@ -1,11 +1,13 @@
 """Quality rules with cross-document line frequency.
 
 Base rules are counts over a text's words `[^\\x20\\x09-\\x0D]+`: too few words, or too many
-words inside 3-word windows found twice or more. The method: each line is normalised (case
-folded, white space runs to one blank, digits to 0) and hashed; for each host the distinct
-documents with a line are counted (equal texts are one document), lines in more than
-``limit`` documents of their host are removed, and a document that keeps less than
-``least_share`` of its words is depleted and rejected.
+words inside 3-word windows found twice or more. The method: each line is normalised (A-Z
+lower-cased, its words joined by one blank, digits 0-9 to 0) and hashed; for each host the
+distinct documents with a line are counted (equal texts are one document), and lines in more
+than ``limit`` documents and more than ``share`` of the documents of their host are removed: the
+first limit keeps small hosts' chance repeats, the second keeps a host of billions of
+documents from losing every line that twenty of them share. A document that loses words so is
+depleted and rejected if it keeps less than ``least_share`` of them or fewer than ``min_words``.
 
 Line counts are combined before they are shuffled, so a line in a third of all rows costs
 one row from each task. Null texts have no words and fail; null hosts are a host of their
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import materialize, utf8_rows
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
-_DIGITS = re.compile(r"\d")
+#: A-Z to lower case and digits to 0, in UTF-8 bytes.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
 def measures(text: bytes) -> tuple[int, int, int, int, int]:
@@ -47,13 +50,13 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-def line_digests(text: str) -> list[tuple[bytes, int]]:
+def line_digests(text: bytes) -> list[tuple[bytes, int]]:
     """Digest and words of each distinct normalised line that has a word; words are summed over its places."""
     found: Counter = Counter()
-    for line in text.split("\n"):
+    for line in text.translate(_FOLD).split(b"\n"):
         words = line.split()
         if words:
-            found[xxhash.xxh3_128_digest(_DIGITS.sub("0", " ".join(words).casefold()))] += len(words)
+            found[xxhash.xxh3_128_digest(b" ".join(words))] += len(words)
     return list(found.items())
 
 
@@ -67,7 +70,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             counts, lines = [], []
             for t in utf8_rows(batch.column(3)):
                 counts.append(measures(t))
-                lines.append([{"digest": d, "words": n} for d, n in line_digests(t.decode())])
+                lines.append([{"digest": d, "words": n} for d, n in line_digests(t)])
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(lines, line)], ["doc_id", "host", "th", *names, "lines"])
 
@@ -76,12 +79,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return docs.select(F.col(id_col), F.col(host_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = 20, least_share: float = 0.5, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = 20, share: float = 0.001, least_share: float = 0.5, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """doc_id, the five measures, removed_words, base_failed, depleted and kept of every row."""
     table = materialize(measured(docs, id_col, text_col, host_col), "measured")
     lines = table.select("doc_id", "th", "host", F.explode("lines").alias("l")).select("doc_id", "th", "host", "l.digest", "l.words")
     places = lines.groupBy("host", "digest", "th").agg(F.lit(1).alias("one"))
-    frequent = places.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(F.col("host").alias("f_host"), F.col("digest").alias("f_digest"))
+    frequent = places.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    hosts = table.groupBy("host", "th").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("h_host")).agg(F.count(F.lit(1)).alias("docs"))
+    frequent = frequent.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where(F.col("n") > share * F.col("docs")).select(F.col("host").alias("f_host"), F.col("digest").alias("f_digest"))
     frequent = materialize(frequent, "frequent-lines")  # both sides of the join are then plain shuffles, which can be split
     gone = lines.join(frequent, (F.col("digest") == F.col("f_digest")) & F.col("host").eqNullSafe(F.col("f_host")))
     gone = gone.select("doc_id", "th", "host", "digest", "words").distinct()  # repeated rows have equal lines
@@ -89,6 +94,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")) & F.col("host").eqNullSafe(F.col("g_host"))
     rows = table.drop("lines").join(gone, key, "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    depleted = F.col("n_words") - F.col("removed_words") < least_share * F.col("n_words")
+    left = F.col("n_words") - F.col("removed_words")
+    depleted = (F.col("removed_words") > 0) & ((left < least_share * F.col("n_words")) | (left < min_words))
     rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", base.alias("base_failed"), depleted.alias("depleted"))
     return rows.select("*", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))

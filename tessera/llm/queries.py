@@ -12,12 +12,12 @@ from tessera.llm.common import read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors, fitted rate and number of copies of every document."""
+    """Posteriors, fitted rate and number of copies of every document, and what share of all tokens the worst domain misses its target by."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    model, _, table = mixing.fit(docs, labels, mixing.label_domain(), mixing.TARGETS)
+    model, rates, table = mixing.fit(docs, labels, mixing.label_domain(), mixing.TARGETS)
     place = {d: i for i, d in enumerate(model.domains)} if model else {}
     p = [(F.get("p", F.lit(place[d])) if d in place else F.lit(0.0)).alias(f"p_{d}") for d in mixing.TARGETS]
-    return table.select("doc_id", F.col("tokens").alias("n_tokens"), *p, "rate", "copies")
+    return table.select("doc_id", F.col("tokens").alias("n_tokens"), *p, "rate", "copies", F.lit(rates.unmet).alias("unmet_share"))
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,6 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=13)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -115,6 +114,19 @@ q AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b)
 t AS (SELECT q.doc_id, string_agg(substring(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY f) AS kept FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY 1)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op8_decontaminate": r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, w[s : s + 12] AS k FROM n),
+g AS (SELECT DISTINCT len(k) AS size FROM v),
+o AS (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS q FROM l, g WHERE len(w) >= size),
+h AS (SELECT doc_id, item_id, q, size FROM (SELECT doc_id, q, size, w[q : q + size - 1] AS k FROM o) x JOIN v USING (k)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(q, q + size)) AS p FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM l LEFT JOIN c ON l.doc_id = c.doc_id LEFT JOIN i ON l.doc_id = i.doc_id
 """,
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -122,13 +134,14 @@ v AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM v),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY 1),
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
-m AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS norm FROM l),
+m AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM l),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM m WHERE k > 0 GROUP BY 1),
-f AS (SELECT source, norm FROM m WHERE k > 0 GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
+h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+f AS (SELECT g.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM m WHERE k > 0 GROUP BY 1, 2 HAVING count(DISTINCT text) > 20) g JOIN h ON g.source IS NOT DISTINCT FROM h.source WHERE n > 0.001 * docs),
 z AS (SELECT doc_id, sum(k) AS n FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.norm = f.norm WHERE k > 0 GROUP BY 1),
 a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS removed_words
 FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - removed_words < 0.5 * n_words AS depleted FROM a)
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words > 0 AND (n_words - removed_words < 0.5 * n_words OR n_words - removed_words < 50) AS depleted FROM a)
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM b
 """,
 }

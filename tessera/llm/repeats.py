@@ -14,10 +14,10 @@ first cut into pieces that can be searched apart, without losing a pair of place
 4. In each group the strings that repeat are found by breadth-first backward extension on
    the transform of its chunks (bwt.py), stopping at ``length``.
 
-A group of more than ``group_bytes`` of different chunks is dealt again by where the
-smallest hash stands in the string and by the bytes that all strings of such a place share,
-in steps down to single strings, where combining equal ones is the answer; so no task gets
-an unbounded group and nothing is dropped.
+A group of more than ``group_bytes`` of different chunks, or of more than ``group_rows`` of them,
+is dealt again by where the smallest hash stands in the string and by the bytes that all
+strings of such a place share, in steps down to single strings, where combining equal ones is
+the answer; so no task gets an unbounded group and nothing is dropped.
 
 Texts are told apart by a 64-bit hash with length and CRC-32. Repeated ids and rows count
 as copies. Empty tables give no rows; columns other than id and text are ignored.
@@ -251,12 +251,15 @@ def _search(length: int, batch_bytes: int = 1 << 20):
     return run
 
 
-def covered_chunks(rows: DataFrame, length: int, group_bytes: int, steps: tuple[int, ...]) -> list[tuple[DataFrame, DataFrame]]:
+def covered_chunks(rows: DataFrame, length: int, group_bytes: int, group_rows: int, steps: tuple[int, ...]) -> list[tuple[DataFrame, DataFrame]]:
     """(chunks, spans of different chunks) for the groups as dealt and, where one is too large, as dealt again."""
     out = []
     for step in (*steps, 0):
         different = materialize(rows.groupBy("key", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.first("data").alias("data")), "different-chunks")
-        large = different.groupBy("key").agg(F.sum(F.length("data")).alias("bytes"), F.count(F.lit(1)).alias("kinds")).where((F.col("bytes") > group_bytes) & (F.col("kinds") > 1)).select("key")
+        large = different.groupBy("key").agg(F.sum(F.length("data")).alias("bytes"), F.count(F.lit(1)).alias("kinds"))
+        # Many kinds alone are dealt again once: a finer step multiplies the bytes, and would for chunks of little of them.
+        most = group_rows if step == steps[0] else 1 << 62
+        large = large.where((F.col("kinds") > 1) & ((F.col("bytes") > group_bytes) | (F.col("kinds") > most))).select("key")
         again = bool(step) and not large.isEmpty()
         if again:
             large = materialize(large, "large-groups")
@@ -270,7 +273,7 @@ def covered_chunks(rows: DataFrame, length: int, group_bytes: int, steps: tuple[
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8 << 20, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8 << 20, group_rows: int = 1024, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and removed (maximal runs as start, end in bytes) of every row."""
     if length < GRAM + WIDTH:
         raise ValueError(f"length must be at least {GRAM + WIDTH} bytes")
@@ -290,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     carried = base.select("doc_id", *key, "text").join(marks.select(*(F.col(c).alias(f"m_{c}") for c in (*key, "rep")), "repeated"), (F.col("th") == F.col("m_th")) & (F.col("tl") == F.col("m_tl")) & F.col("doc_id").eqNullSafe(F.col("m_rep")))
     rows = materialize(_chunk_table(carried.select("th", "tl", "text", "repeated"), length), "chunks")
     spans = None
-    for held, found in covered_chunks(rows, length, group_bytes, steps):
+    for held, found in covered_chunks(rows, length, group_bytes, group_rows, steps):
         part = held.select("key", "digest", *key, "start").join(found, ["key", "digest"])
         part = part.select(*key, F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
         spans = part if spans is None else spans.unionByName(part)

@@ -10,6 +10,12 @@ top, where the budget is zero; its nodes of that depth are what the cluster is d
 A node with more than ``node_limit`` fingerprints is dealt again by its next ranges, so no
 task gets an unbounded node and nothing is capped.
 
+Three bits over three-word shingles find few copies with edits: at five-word similarity 0.8,
+fingerprints differ in about ten of 64 bits. ``drop_near_duplicates`` therefore joins sketches:
+three fingerprints over single words and word pairs, which edits change less, traversed with a
+wider budget below a range of 16 bits that agrees, and then a comparison of 256 bits over
+five-word shingles.
+
 Null and empty texts have fingerprint zero and link to each other. Ids need not be unique;
 null ids take part, and a component's id is the smallest non-null one. Empty tables give
 no rows. Columns other than id and text are ignored.
@@ -18,6 +24,7 @@ no rows. Columns other than id and text are ignored.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -105,15 +112,32 @@ class _Forest:
         return changed
 
 
-def trie_self_join(values: np.ndarray, tops: np.ndarray, fixed: np.ndarray, budget: int = 3, chunk: int = 1 << 17, leaf: int = 24) -> np.ndarray:
+def trie_self_join(values: np.ndarray, tops: np.ndarray, fixed: np.ndarray, budget: int = 3, chunk: int = 1 << 17, leaf: int = 24, check: np.ndarray | None = None, check_budget: int = 0) -> np.ndarray:
     """Component label (an index) of each value; values are sorted within each top node.
 
     tops: where each top node's values begin (one more entry at the end); fixed: how many
     high bits its values share. Node pairs are kept in chunks of one depth on a stack, so
     memory is bounded by the chunk; a pair whose values all are in one component is pruned.
+    check: further bits of each value (a row of words), which must differ in at most
+    ``check_budget`` for a link; then a top node may hold a value several times.
     """
     forest = _Forest(len(values))
     joined_up = np.concatenate([[0], np.arange(len(values))])  # label changes up to each value
+
+    def relabel():
+        joined_up[1:] = np.concatenate([[0], np.cumsum(forest.label[1:] != forest.label[:-1])])
+
+    def agree(i, j):
+        return (_popcount(check[i] ^ check[j]).sum(axis=-1) <= check_budget) if check is not None else np.ones(np.broadcast(i, j).shape, bool)
+
+    if check is not None and len(values):  # equal values of a node, which no bit of theirs tells apart
+        node = np.repeat(np.arange(len(tops) - 1), np.diff(tops))
+        new = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (node[1:] != node[:-1]), [True]]))
+        linked = False
+        for a, b in zip(new[:-1][np.diff(new) > 1], new[1:][np.diff(new) > 1]):
+            linked |= _link_equal(np.arange(a, b), agree, forest)
+        if linked:
+            relabel()
     stack = []
     for depth in np.unique(fixed):
         own = np.flatnonzero((fixed == depth) & (np.diff(tops) > 1))
@@ -127,20 +151,28 @@ def trie_self_join(values: np.ndarray, tops: np.ndarray, fixed: np.ndarray, budg
         one = forest.label[alo] == forest.label[blo]
         one &= (joined_up[ahi] == joined_up[alo + 1]) & (joined_up[bhi] == joined_up[blo + 1])
         keep = ~one | ((ahi - alo) * (bhi - blo) == 1) & ~same
-        keep &= ~(same & (ahi - alo == 1))
+        keep &= ~(same & ((ahi - alo == 1) | (depth == BITS)))
         alo, ahi, blo, bhi, diff, same = (x[keep] for x in (alo, ahi, blo, bhi, diff, same))
         size = (ahi - alo) * (bhi - blo)
-        small = size <= leaf if depth < BITS else np.ones(len(size), bool)
+        small = size <= leaf
         if small.any():
             n = size[small]
             pair = np.repeat(np.flatnonzero(small), n)
             at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
             width = (bhi - blo)[pair]
             i, j = alo[pair] + at // width, blo[pair] + at % width
-            near = (i < j) & (_popcount(values[i] ^ values[j]) <= budget)
-            if near.any() and forest.link(i[near], j[near]):
-                joined_up[1:] = np.concatenate([[0], np.cumsum(forest.label[1:] != forest.label[:-1])])
+            near = np.flatnonzero((i < j) & (_popcount(values[i] ^ values[j]) <= budget))
+            near = near[agree(i[near], j[near])]
+            if len(near) and forest.link(i[near], j[near]):
+                relabel()
         alo, ahi, blo, bhi, diff, same = (x[~small] for x in (alo, ahi, blo, bhi, diff, same))
+        if depth == BITS:  # two values, each there several times
+            linked = False
+            for a, b, c, d in zip(alo, ahi, blo, bhi):
+                linked |= _link_between(np.arange(a, b), np.arange(c, d), agree, forest)
+            if linked:
+                relabel()
+            continue
         if not len(alo):
             continue
         bit = np.uint64(1 << (BITS - 1 - depth))
@@ -163,6 +195,29 @@ def trie_self_join(values: np.ndarray, tops: np.ndarray, fixed: np.ndarray, budg
     return forest.label
 
 
+def _link_equal(rows: np.ndarray, agree, forest: _Forest) -> bool:
+    """Link rows of one value that agree, breadth first: each linked row is compared with those not linked yet."""
+    linked = False
+    while len(rows) > 1:
+        reached, rows = rows[:1], rows[1:]
+        while len(reached) and len(rows):
+            near = agree(reached[0], rows)
+            if near.any():
+                linked |= forest.link(np.full(int(near.sum()), reached[0]), rows[near])
+            reached, rows = np.concatenate([reached[1:], rows[near]]), rows[~near]
+    return linked
+
+
+def _link_between(a: np.ndarray, b: np.ndarray, agree, forest: _Forest) -> bool:
+    linked = False
+    for x in a:
+        other = b[forest.label[b] != forest.label[x]]
+        near = other[agree(x, other)] if len(other) else other
+        if len(near):
+            linked |= forest.link(np.full(len(near), x), near)
+    return linked
+
+
 def _splits(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
     """Where each node's values with the bit set begin, by bisection of all nodes at once."""
     lo, hi = lo.copy(), hi.copy()
@@ -176,52 +231,164 @@ def _splits(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def _join_nodes(budget: int):
-    """Of one task's trie nodes: each linked fingerprint with the smallest label of its component there."""
+def _join_nodes(budget: int, checks: int = 0, check_budget: int = 0, rows: int = 1 << 18):
+    """Of trie nodes in order: each linked row's label with the smallest label of its component there."""
 
-    def run(batches):
-        parts = [(b.column("node").to_numpy(), b.column("fixed").to_numpy(), b.column("turned").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        node, fixed, turned, fp = (np.concatenate(x) for x in zip(*parts))
+    def solve(parts):
+        node, fixed, turned, label, *check = (np.concatenate(x) for x in zip(*parts))
         turned = turned.view(np.uint64)
-        order = np.lexsort((turned, node))
-        node, fixed, turned, fp = (x[order] for x in (node, fixed, turned, fp))
+        order = np.lexsort((label, turned, node))
+        node, fixed, turned, label, *check = (x[order] for x in (node, fixed, turned, label, *check))
         begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        label = trie_self_join(turned, np.concatenate([begins, [len(node)]]), fixed[begins], budget)
-        linked = np.flatnonzero(label != np.arange(len(label)))
+        found = trie_self_join(turned, np.concatenate([begins, [len(node)]]), fixed[begins], budget, check=np.stack(check, axis=1).view(np.uint64) if check else None, check_budget=check_budget)
+        linked = np.flatnonzero(found != np.arange(len(found)))
         for first in range(0, len(linked), 1 << 16):
             k = linked[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[k]), pa.array(fp[label[k]])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(label[k]), pa.array(label[found[k]])], ["u", "v"])
+
+    def run(batches):
+        names = ["node", "fixed", "turned", "label", *[f"c{i}" for i in range(checks)]]
+        parts, held = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = [b.column(n).to_numpy() for n in names]
+            if held + b.num_rows > rows:  # whole nodes only, which are of bounded size
+                last = int(np.searchsorted(part[0], part[0][-1], "left"))
+                new = not parts or parts[-1][0][-1] != part[0][-1]
+                if last or new:
+                    yield from solve([*parts, [x[:last] for x in part]] if last else parts) if parts or last else ()
+                    parts, held, part = [], 0, [x[last:] for x in part]
+            parts.append(part)
+            held += len(part[0])
+        if parts:
+            yield from solve(parts)
 
     return run
 
 
-def link_fingerprints(prints: DataFrame, budget: int = 3, node_limit: int = 200_000) -> DataFrame:
-    """(node, root) of each distinct fingerprint in column fp that isn't its component's smallest one."""
-    ranges = budget + 1
-    width = BITS // ranges
-    distinct = materialize(prints.select("fp").distinct(), "fingerprints")
-    turns = F.array(*[F.struct(F.lit(r).alias("turn"), _rotated(F.col("fp"), 0, r * width).alias("turned")) for r in range(ranges)])
-    rows = distinct.select("fp", F.explode(turns).alias("x")).select("fp", "x.turned", F.xxhash64("x.turn", F.shiftrightunsigned("x.turned", BITS - width)).alias("node"), F.lit(width).alias("fixed"))
-    edges, fixed = [], width
+def _deal(rows: DataFrame, ranges: int, node_limit: int) -> list[DataFrame]:
+    """Rows (label, turned, node, fixed, checks), dealt to nodes by the bits that must agree, crowded nodes again by their next ranges."""
+    checks = [c for c in rows.columns if c not in ("label", "turned", "node", "fixed")]
+    out, fixed = [], BITS // ranges
     while True:
-        left = BITS - fixed
-        width = left // ranges
+        width = (BITS - fixed) // ranges
         crowded = rows.groupBy("node").count().where(F.col("count") > node_limit).select("node")
         if width < 2 or crowded.isEmpty():
-            edges.append(rows)
-            break
+            return [*out, rows]
         crowded = materialize(crowded, "crowded")
-        edges.append(rows.join(crowded, "node", "left_anti").select("fp", "turned", "node", "fixed"))
+        out.append(rows.join(crowded, "node", "left_anti").select("label", "turned", "node", "fixed", *checks))
         turns = F.array(*[F.struct(F.lit(r).alias("turn"), _rotated(F.col("turned"), fixed, r * width).alias("turned")) for r in range(ranges)])
         fixed += width
-        rows = rows.join(crowded, "node").select("fp", "node", F.explode(turns).alias("x"))
-        rows = materialize(rows.select("fp", "x.turned", F.xxhash64("node", "x.turn", F.shiftrightunsigned("x.turned", BITS - fixed)).alias("node"), F.lit(fixed).alias("fixed")), "dealt-again")
-    found = [x.repartition("node").mapInArrow(_join_nodes(budget), "u long, v long") for x in edges]
+        rows = rows.join(crowded, "node").select("label", "node", F.explode(turns).alias("x"), *checks)
+        rows = materialize(rows.select("label", "x.turned", F.xxhash64("node", "x.turn", F.shiftrightunsigned("x.turned", BITS - fixed)).alias("node"), F.lit(fixed).alias("fixed"), *checks), "dealt-again")
+
+
+def _linked(dealt: list[DataFrame], budget: int, check_budget: int = 0) -> DataFrame:
+    checks = len(dealt[0].columns) - 4
+    found = [x.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(budget, checks, check_budget), "u long, v long") for x in dealt]
     return components(functools.reduce(DataFrame.unionByName, found))
 
 
+def link_fingerprints(prints: DataFrame, budget: int = 3, node_limit: int = 200_000) -> DataFrame:
+    """(node, root) of each distinct fingerprint in column fp that isn't its component's smallest one."""
+    ranges = budget + 1
+    width = BITS // ranges
+    distinct = materialize(prints.select("fp").distinct(), "fingerprints")
+    turns = F.array(*[F.struct(F.lit(r).alias("turn"), _rotated(F.col("fp"), 0, r * width).alias("turned")) for r in range(ranges)])
+    rows = distinct.select("fp", F.explode(turns).alias("x"))
+    rows = rows.select(F.col("fp").alias("label"), "x.turned", F.xxhash64("x.turn", F.shiftrightunsigned("x.turned", BITS - width)).alias("node"), F.lit(width).alias("fixed"))
+    return _linked(_deal(rows, ranges, node_limit), budget)
+
+
+#: Longs of a sketch: three values that are joined, and four that are compared.
+VALUES, CHECKS = 3, 4
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for first in range(0, len(hashes), 1 << 15):
+        part = hashes[first : first + (1 << 15)]
+        counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of ``width`` consecutive words, or of all where there are fewer."""
+    width = min(width, len(words))
+    out = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(_ODD) + words[i : len(words) - width + 1 + i]
+    return np.unique(_mixed(out, width))
+
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def sketch(text: bytes, known: dict[bytes, int], shingle: int = 5) -> list[int]:
+    """Fingerprints over distinct shingles: three values, each of 48 bits from words or word pairs and 16 from ``shingle`` words, and 256 bits from ``shingle`` words."""
+    words = text.lower().split()
+    if not words:
+        return [0] * (VALUES + CHECKS)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, seed=42)
+    h = np.array([known[w] for w in words], np.uint64)
+    single, pairs, long = np.unique(h), _shingles(h, 2), _shingles(h, shingle)
+    low = (1 << 16) - 1
+    tail = _majority(_mixed(long, 13))
+    values = [_majority(_mixed(single, 1)), _majority(_mixed(single, 2)), _majority(_mixed(pairs, 3))]
+    return [v & ~low | (tail >> 16 * k) & low for k, v in enumerate(values)] + [_majority(_mixed(long, 20 + k)) for k in range(CHECKS)]
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, th (a hash of the text), sig (a hash of the sketch), v0 to v2 and c0 to c3 of every row."""
+    names = [*[f"v{i}" for i in range(VALUES)], *[f"c{i}" for i in range(CHECKS)]]
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found = np.array([sketch(t, known, shingle) for t in utf8_rows(batch.column(2))], np.uint64).reshape(-1, VALUES + CHECKS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k].copy()) for k in range(VALUES + CHECKS)]], ["doc_id", "th", *names])
+            if len(known) > 1 << 20:
+                known.clear()
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("th", *names)]])
+    found = docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
+    return found.withColumn("sig", F.xxhash64(*names))
+
+
+def differing_bits(similarity: float, bits: int, spread: float = 1.3) -> int:
+    """The bits in which fingerprints of texts of a set similarity differ, and ``spread`` standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def link_sketches(prints: DataFrame, similarity: float = 0.8, budget: int = 10, ranges: int = 4, node_limit: int = 8192) -> DataFrame:
+    """(node, root) of each distinct sig that isn't its component's smallest one.
+
+    Two sketches link if one of their values agrees in one of its ranges and differs in at most
+    ``budget`` bits in all, and if their compared bits differ no more than ``similarity`` makes
+    likely. A range of 16 bits agrees in most near copies but in few others, so twelve of them
+    reach what a budget that wide could not if every range of it had to be tried.
+    """
+    width = BITS // ranges
+    names = [*[f"v{i}" for i in range(VALUES)], *[f"c{i}" for i in range(CHECKS)]]
+    distinct = materialize(prints.groupBy("sig").agg(*[F.first(n).alias(n) for n in names]), "sketches")
+    turns = F.array(*[F.struct(F.lit(v * ranges + r).alias("turn"), _rotated(F.col(f"v{v}"), 0, r * width).alias("turned")) for v in range(VALUES) for r in range(ranges)])
+    checks = [f"c{i}" for i in range(CHECKS)]
+    rows = distinct.select("sig", F.explode(turns).alias("x"), *checks)
+    rows = rows.select(F.col("sig").alias("label"), "x.turned", F.xxhash64("x.turn", F.shiftrightunsigned("x.turned", BITS - width)).alias("node"), F.lit(width).alias("fixed"), *checks)
+    return _linked(_deal(rows, ranges, node_limit), budget, differing_bits(similarity, CHECKS * BITS))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, shingle: int = 3, node_limit: int = 200_000) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable, itself included) of every row."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
@@ -233,18 +400,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    Rows without an id rank last; rows that repeat an id are told apart by a hash of their
-    text; of rows equal in both a single one stays.
+    Groups are components of texts whose ``shingle``-word sketches say they are at least about
+    ``similarity`` alike. Rows without an id rank last; rows that repeat an id are told apart
+    by a hash of their text; of rows equal in both a single one stays.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, hashed=True), "prints")
-    roots = link_fingerprints(prints, budget)
-    rows = prints.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    prints = materialize(sketches(docs, id_col, text_col, shingle), "prints")
+    roots = link_sketches(prints, similarity)
+    rows = prints.groupBy("sig", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")
-    first = rows.groupBy("fp").agg(F.min(rank).alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    keep = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    first = rows.groupBy("sig").agg(F.min(rank).alias("first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    keep = first.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     keep = materialize(keep.select(F.col("first.doc_id").alias("__kept"), F.col("first.th").alias("__th"), F.col("first.n").alias("__n")), "kept-rows")
     same = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text_col) == F.col("__th"))
     # Most rows stay, so they are as many as the documents: merged at every size, never broadcast.
