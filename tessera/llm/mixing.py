@@ -1,8 +1,9 @@
 """Mixing to target weights with soft domain membership.
 
 A naive Bayes classifier is fitted on labelled documents (a sample of about ``fit_rows``,
-chosen by hash): Gaussian terms for shape measures and word terms for the ``lexicon``
-words that separate the domains most. It gives every document a posterior over domains.
+chosen by hash): Gaussian terms for shape measures, word terms for the ``lexicon`` words that
+separate the domains most, and for each domain whether the text has any of its telling ones,
+as their absence tells too. It gives every document a posterior over domains.
 Nonnegative document rates are then fitted by projected-gradient least squares so that
 expected tokens by domain (rate x posterior x tokens, summed) meet the targets. Each step
 is one aggregation over the cluster; the gradient is scaled by the inverse of the small
@@ -24,7 +25,7 @@ of their own, so no name clashes.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,13 +38,18 @@ SHAPES = ["symbols", "capitals", "digits", "variety", "word_length", "log_words"
 
 @dataclass
 class DomainModel:
-    """log prior and Gaussian terms by domain, and for each lexicon word the log of its share of the domain's words over its share of all words."""
+    """log prior and Gaussian terms by domain, and for each lexicon word the log of its share of the domain's words over its share of all words.
+
+    markers: for each domain its telling words, and log odds of a text of each domain having
+    one of them and having none.
+    """
 
     domains: list[str]
     bias: list[float]
     mean: list[list[float]]
     var: list[list[float]]
     lexicon: dict[str, list[float]]
+    markers: list[tuple[list[str], list[float], list[float]]] = field(default_factory=list)
 
 
 def _measured(docs: DataFrame, text_col: str) -> DataFrame:
@@ -85,24 +91,36 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str
     best = words.orderBy(gain.desc(), "word").limit(lexicon).collect()
     # Shares of a domain's words, not of its documents: long documents then don't look like the domain of long ones.
     odds = np.array([[math.log((r[f"c{i}"] + 0.5) / (size[i] + 1.0) / (r["c"] / sum(size))) for i in range(len(domains))] for r in best]).reshape(len(best), len(domains))
+    telling = [[r["word"] for k, r in enumerate(best) if odds[k][i] > math.log(2)] for i in range(len(domains))]
+    has = rows.groupBy("__domain").agg(*[F.count_if(F.exists("__words", _among(own)) if own else F.lit(False)).alias(f"a{i}") for i, own in enumerate(telling)]).orderBy("__domain").collect()
+    chance = np.array([[(r[f"a{i}"] + 0.5) / (n[d] + 1.0) for d, r in enumerate(has)] for i in range(len(domains))])
+    markers = [(own, np.log(chance[i]).tolist(), np.log1p(-chance[i]).tolist()) for i, own in enumerate(telling) if own]
     bias = np.log(np.array(n) / sum(n))
+    discard(rows)
     return DomainModel(
         domains, bias.tolist(), [[float(r[f"{s}_mean"]) for s in SHAPES] for r in found], [[max(float(r[f"{s}_var"]), 1e-4 if s not in ("word_length", "log_words") else 0.05) for s in SHAPES] for r in found],
-        {r["word"]: odds[k].tolist() for k, r in enumerate(best)},
+        {r["word"]: odds[k].tolist() for k, r in enumerate(best)}, markers,
     )
 
 
+def _among(words: list[str]):
+    return lambda w: w.isin(words)
+
+
 def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """docs with __p (posterior by domain) and __tokens."""
     rows = _measured(docs, text_col)
     hits = F.filter("__words", lambda w: w.isin(list(model.lexicon))) if model.lexicon else F.expr("cast(array() as array<string>)")
     rows = rows.withColumn("__hits", hits)
+    rows = rows.withColumn("__has", F.array(*[F.exists("__hits", _among(own)) for own, _, _ in model.markers], F.lit(False)))
     weights = F.create_map(*[x for w, odds in model.lexicon.items() for x in (F.lit(w), F.array(*map(F.lit, odds)))]) if model.lexicon else None
     scores = []
     for i in range(len(model.domains)):
         score = F.lit(model.bias[i] - sum(0.5 * math.log(v) for v in model.var[i]))
         for s, m, v in zip(SHAPES, model.mean[i], model.var[i]):
             score = score - F.pow(F.col(f"__{s}") - m, F.lit(2.0)) / (2 * v)
+        for k, (_, log_has, log_none) in enumerate(model.markers):
+            score = score + F.when(F.get("__has", F.lit(k)), F.lit(log_has[i])).otherwise(F.lit(log_none[i]))
         if weights is not None:
             score = score + _sum_of(F.transform("__hits", lambda w: F.element_at(weights, w)), i)
         scores.append(score)
@@ -110,7 +128,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text")
     rows = rows.withColumn("__e", F.transform("__scores", lambda s: F.exp(s - F.array_max("__scores"))))
     total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("__p", F.transform("__e", lambda x: x / total))
-    return rows.drop("__words", "__hits", "__scores", "__e", *[f"__{s}" for s in SHAPES])
+    return rows.drop("__words", "__hits", "__has", "__scores", "__e", *[f"__{s}" for s in SHAPES])
 
 
 def _sum_of(vectors: Column, i: int) -> Column:
@@ -144,7 +162,7 @@ def rate_of(p: Column, rates: Rates) -> Column:
     return _moved(F.lit(1.0), p, rates.steps, rates.max_rate)
 
 
-def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, float], max_rate: float = 8.0, tolerance: float = 1e-6, patience: int = 8, least_gain: float = 1e-3) -> Rates:
+def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, float], max_rate: float = 8.0, tolerance: float = 1e-6, patience: int = 8, least_gain: float = 0.01) -> Rates:
     """Projected gradient on half the squared distance of expected domain tokens from their targets.
 
     posteriors: __p and __tokens of each document. Targets are shares of all tokens. It ends
@@ -175,7 +193,7 @@ def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, floa
     short, gram = measure()
     scale = np.linalg.pinv(gram, rcond=1e-9)  # every rate is 1 at the start, so all can move
     distance = lambda e: float(e @ scale @ e)
-    path = []
+    path, bold = [], 1
     while True:
         rates.expected, rates.unmet = (want - short).tolist(), float(np.abs(short).max() / total)
         path.append(distance(short))
@@ -185,7 +203,7 @@ def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, floa
         # A step scaled by all documents always leads nearer; one scaled by those that can move
         # leads there in few steps once the others stay at their bounds, but must prove it.
         done = False
-        if len(path) > 1 and gram.any():
+        if len(path) > bold and gram.any():
             pending.append((np.linalg.pinv(gram, rcond=1e-9) @ short).tolist())
             tried, tried_gram = measure()
             done = distance(tried) < 0.5 * path[-1]
@@ -193,6 +211,7 @@ def fit_rates(posteriors: DataFrame, model: DomainModel, targets: dict[str, floa
                 short, gram = tried, tried_gram
             else:
                 pending.pop()
+                bold = len(path) + patience // 2  # not again at once
         if not done:
             pending.append((scale @ short).tolist())
             short, gram = measure()

@@ -243,7 +243,7 @@ def test_quality_rules(spark, folder, table):
 
 
 def test_mixing_posteriors(spark, folder, table):
-    """The classifier again in numpy: Gaussian shape terms and log odds of the chosen words."""
+    """The classifier again in numpy: Gaussian shape terms, log odds of the chosen words, and whether any telling one is there."""
     model, _, _ = queries.mixing.fit(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")), queries.mixing.label_domain(), queries.mixing.TARGETS)
     got = defaultdict(list)
     for r in queries.QUERIES["op1_mixing"](spark, folder).collect():
@@ -270,6 +270,7 @@ def test_mixing_posteriors(spark, folder, table):
         score = np.array(model.bias, float)
         for k in range(len(model.domains)):
             score[k] += sum(-0.5 * math.log(v) - (x - m) ** 2 / (2 * v) for x, m, v in zip(shape(t), model.mean[k], model.var[k]))
+            score[k] += sum((has if set(own) & set(words(t)) else none)[k] for own, has, none in model.markers)
             score[k] += sum(model.lexicon[w][k] for w in set(words(t)) if w in model.lexicon)
         p = np.exp(score - score.max())
         p = dict(zip(model.domains, p / p.sum()))
