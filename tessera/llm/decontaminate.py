@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, width: int, broadcast_byt
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), _words(F.col(text_col)).alias("words"))
     # posexplode_outer: posexplode would add a filter on the words' number, and with it count them twice.
     tokens = text.select("doc_id", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    known = _sized(vocabulary.select("word", F.xxhash64("word", F.lit(seed)).alias("term")), broadcast_bytes, F.octet_length("word") + 48)
+    known = _sized(vocabulary.select("word", F.xxhash64("word", F.lit(seed)).alias("term")), broadcast_bytes, F.octet_length("word") + 96)
     postings = tokens.join(known, "word").select("doc_id", "th", "n_words", "pos", "term")
     return Index(materialize(hashed, "hashed-windows"), materialize(postings, "postings"), broadcast_bytes)
 
@@ -91,17 +91,17 @@ def find_matches(index: Index, rarest: int = 3, slop: int = 5) -> DataFrame:
     )
     chosen = materialize(chosen, "chosen-terms")
     places = materialize(chosen.groupBy("term").agg(F.collect_set(F.struct("k", "j")).alias("places")), "places")
-    places = _sized(places, index.limit, 48 + 16 * F.size("places"))
+    places = _sized(places, index.limit, 96 + 24 * F.size("places"))
     needs = chosen.groupBy("k", "s").agg(F.collect_set("j").alias("need"))
     needs = materialize(needs.groupBy("k").agg(F.collect_list(F.struct("s", "need")).alias("needs"), F.min(F.size("need")).alias("least")), "needs")
-    needs = _sized(needs, index.limit, 48 + 48 * F.size("needs"))
+    needs = _sized(needs, index.limit, 96 + 64 * F.size("needs"))
     aligned = index.postings.join(places, "term").select("doc_id", "th", "pos", F.explode("places").alias("p"))
     aligned = aligned.select("doc_id", "th", F.col("p.k").alias("k"), F.col("p.j").alias("j"), (F.col("pos") - F.col("p.j")).alias("delta"))
     # A window's chosen terms stand at different places of the item, so two at least differ.
     rich = aligned.groupBy("doc_id", "th", "k").agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("low"), F.max("j").alias("high")).join(needs.select("k", "least"), "k")
     rich = materialize(rich.where((F.col("n") >= F.col("least")) & ((F.col("least") < 2) | (F.col("low") < F.col("high")))).select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.col("k").alias("r_k")), "rich-documents")
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")) & (F.col("k") == F.col("r_k"))
-    aligned = aligned.join(_sized(rich, index.limit, F.lit(64)), same, "left_semi")
+    aligned = aligned.join(_sized(rich, index.limit, F.lit(192)), same, "left_semi")
     aligned = aligned.groupBy("doc_id", "th", "k", "delta").agg(F.collect_set("j").alias("js"))
     near = W.partitionBy("doc_id", "th", "k").orderBy("delta").rangeBetween(-slop, slop)
     aligned = aligned.withColumn("near", F.array_distinct(F.flatten(F.collect_list("js").over(near))))
@@ -117,13 +117,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int, rarest: in
     """(__id, __th, n_hit, items, near_items, contaminated) of the documents with a match of either kind."""
     index = build_index(docs, benchmark, width, broadcast_bytes, id_col, text_col)
     matches = find_matches(index, rarest, slop)
-    windows = _sized(index.windows, broadcast_bytes, 64 + 8 * F.size("terms"))
+    windows = _sized(index.windows, broadcast_bytes, 128 + 8 * F.size("terms"))
     item = F.col("item_id").cast("string")
     near = matches.join(windows.select("k", "s", "item_id"), ["k", "s"]).groupBy("doc_id", "th").agg(F.collect_set(item).alias("near"))
     phrases = matches.where("exact").select("doc_id", "th", "k", "s", "at").distinct().join(windows, ["k", "s"])
     phrases = phrases.select("doc_id", "th", "k", "s", "at", item.alias("item"), F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).withColumn("pos", F.col("at") + F.col("o"))
     ids = matches.where("exact").select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct()
-    ids = _sized(materialize(ids, "candidates"), broadcast_bytes, F.lit(48))
+    ids = _sized(materialize(ids, "candidates"), broadcast_bytes, F.lit(160))
     postings = index.postings.join(ids, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left_semi")
     # Repeated rows have equal postings.
     postings = postings.select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term"), "n_words").distinct()
@@ -139,7 +139,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int, rarest: in
     return materialize(both.select("__id", "__th", "n_hit", "items", F.array_sort(F.array_except("near", "items")).alias("near_items"), contaminated.alias("contaminated")), "contaminations")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with doc_id, n_words, n_hit, items (sorted ids as strings), near_items, contaminated.
 
     A document word inside any occurrence of a window is hit; a document is contaminated if
@@ -157,9 +157,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, rarest: int = 3, slop: int = 5, ratio: int = 20, broadcast_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, less the contaminated rows."""
     text = docs.select(F.col(id_col), F.col(text_col))
     found = contaminations(text, benchmark, width, rarest, slop, ratio, broadcast_bytes, id_col, text_col)
-    bad = _sized(found.where("contaminated").select("__id", "__th"), broadcast_bytes, F.lit(48))
+    bad = _sized(found.where("contaminated").select("__id", "__th"), broadcast_bytes, F.lit(160))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
