@@ -46,43 +46,42 @@ def _sized(df: DataFrame, limit: int, size: Column) -> DataFrame:
     return F.broadcast(df) if total <= limit else df
 
 
-def benchmark_windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """k (a hash of the item's words), item_id, s (start) and window (its words) of every window."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    items = items.select("item_id", "words", F.xxhash64("item_id", "words").alias("k")).dropDuplicates(["k"])
-    starts = items.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))).alias("s"))
-    return starts.select("k", "item_id", "s", F.slice("words", F.col("s") + 1, F.lit(width)).alias("window"))
-
-
 @dataclass
 class Index:
-    """windows: k, item_id, s, terms (hashes). postings: doc_id, th, n_words, pos, term of every benchmark word in every text."""
+    """items: k, item_id, terms (hashes of its words). postings: doc_id, th, n_words, pos, term of every benchmark word in every text."""
 
-    windows: DataFrame
+    items: DataFrame
     postings: DataFrame
+    width: int
     limit: int
 
+    def windows(self) -> DataFrame:
+        """k, s (start) and terms of every window."""
+        starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("terms") - self.width, F.lit(0)))).alias("s")
+        return self.items.select("k", "terms", starts).select("k", "s", F.slice("terms", F.col("s") + 1, F.lit(self.width)).alias("terms"))
+
 
 def build_index(docs: DataFrame, benchmark: DataFrame, width: int, broadcast_bytes: int, id_col: str, text_col: str) -> Index:
-    """The stored postings; th is the hash that tells documents of one id apart."""
-    windows = materialize(benchmark_windows(benchmark, width), "windows")
-    vocabulary = materialize(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    """The stored postings; th is the hash that tells documents of one id apart, and k a hash of an item's id and words."""
+    items = benchmark.select(F.col("item_id"), _words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = materialize(items.select("item_id", "words", F.xxhash64("item_id", "words").alias("k")).dropDuplicates(["k"]), "items")
+    vocabulary = materialize(items.select(F.explode("words").alias("word")).distinct(), "vocabulary")
     seed = 0
     while vocabulary.groupBy(F.xxhash64("word", F.lit(seed)).alias("term")).count().where("count > 1").limit(1).count():
         seed += 1
-    hashed = windows.select("k", "item_id", "s", F.transform("window", lambda w: F.xxhash64(w, F.lit(seed))).alias("terms"))
+    hashed = items.select("k", "item_id", F.transform("words", lambda w: F.xxhash64(w, F.lit(seed))).alias("terms"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), _words(F.col(text_col)).alias("words"))
     # posexplode_outer: posexplode would add a filter on the words' number, and with it count them twice.
     tokens = text.select("doc_id", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     known = _sized(vocabulary.select("word", F.xxhash64("word", F.lit(seed)).alias("term")), broadcast_bytes, F.octet_length("word") + 96)
     postings = tokens.join(known, "word").select("doc_id", "th", "n_words", "pos", "term")
-    return Index(materialize(hashed, "hashed-windows"), materialize(postings, "postings"), broadcast_bytes)
+    return Index(materialize(hashed, "hashed-items"), materialize(postings, "postings"), width, broadcast_bytes)
 
 
 def find_matches(index: Index, rarest: int = 3, slop: int = 5) -> DataFrame:
     """(doc_id, th, k, s, at, exact): candidate phrases at document word ``at`` (exact) and proximity matches (not exact)."""
     frequency = materialize(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-frequency")
-    terms = index.windows.select("k", "s", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).join(frequency, "term")
+    terms = index.windows().select("k", "s", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).join(frequency, "term")
     by_window = W.partitionBy("k", "s")
     chosen = (
         terms.withColumn("found", F.count(F.lit(1)).over(by_window)).where("found = n")
@@ -117,20 +116,28 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int, rarest: in
     """(__id, __th, n_hit, items, near_items, contaminated) of the documents with a match of either kind."""
     index = build_index(docs, benchmark, width, broadcast_bytes, id_col, text_col)
     matches = find_matches(index, rarest, slop)
-    windows = _sized(index.windows, broadcast_bytes, 128 + 8 * F.size("terms"))
-    item = F.col("item_id").cast("string")
-    near = matches.join(windows.select("k", "s", "item_id"), ["k", "s"]).groupBy("doc_id", "th").agg(F.collect_set(item).alias("near"))
-    phrases = matches.where("exact").select("doc_id", "th", "k", "s", "at").distinct().join(windows, ["k", "s"])
-    phrases = phrases.select("doc_id", "th", "k", "s", "at", item.alias("item"), F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")).withColumn("pos", F.col("at") + F.col("o"))
-    ids = matches.where("exact").select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct()
+    items = index.items.select("k", F.col("item_id").cast("string").alias("item"), "terms", F.least(F.size("terms"), F.lit(width)).alias("n"))
+    items = _sized(items, broadcast_bytes, 128 + 8 * F.size("terms") + F.coalesce(F.octet_length("item"), F.lit(0)))
+    near = matches.select("doc_id", "th", "k").distinct().join(items.select("k", "item"), "k").groupBy("doc_id", "th").agg(F.collect_set("item").alias("near"))
+    exact = matches.where("exact").groupBy("doc_id", "th", "k", (F.col("at") - F.col("s")).alias("delta")).agg(F.collect_set("s").alias("starts")).join(items, "k")
+    exact = materialize(exact, "alignments")
+    # Of each alignment, the item's words that a candidate window covers, each once.
+    within = lambda j: F.exists("starts", lambda s: (s <= j) & (j < s + F.col("n")))
+    wanted = exact.select("doc_id", "th", "k", "delta", F.explode(F.filter(F.sequence(F.lit(0), F.size("terms") - 1), within)).alias("j"), "terms")
+    wanted = wanted.select("doc_id", "th", "k", "delta", "j", (F.col("delta") + F.col("j")).alias("pos"), F.get("terms", F.col("j")).alias("term"))
+    ids = exact.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct()
     ids = _sized(materialize(ids, "candidates"), broadcast_bytes, F.lit(160))
     postings = index.postings.join(ids, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left_semi")
     # Repeated rows have equal postings.
     postings = postings.select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term"), "n_words").distinct()
     here = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")) & (F.col("pos") == F.col("p_pos")) & (F.col("term") == F.col("p_term"))
-    held = phrases.hint("merge").join(postings, here).groupBy("doc_id", "th", "k", "s", "at", "item", "n").agg(F.count(F.lit(1)).alias("same"), F.first("n_words").alias("n_words")).where("same = n")
-    places = F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))
-    held = held.groupBy("doc_id", "th").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.collect_set("item").alias("items"), F.first("n_words").alias("n_words"))
+    same = wanted.hint("merge").join(postings, here).groupBy("doc_id", "th", "k", "delta").agg(F.collect_set("j").alias("same"), F.first("n_words").alias("n_words"))
+    same = same.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), F.col("k").alias("s_k"), F.col("delta").alias("s_delta"), "same", "n_words")
+    held = exact.join(same, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("k") == F.col("s_k")) & (F.col("delta") == F.col("s_delta")))
+    whole = F.filter("starts", lambda s: F.size(F.array_intersect(F.sequence(s, s + F.col("n") - 1), F.col("same"))) == F.col("n"))
+    held = held.select("doc_id", "th", "item", "n_words", "delta", "n", whole.alias("starts")).where(F.size("starts") > 0)
+    places = F.flatten(F.transform("starts", lambda s: F.sequence(F.col("delta") + s, F.col("delta") + s + F.col("n") - 1)))
+    held = held.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long").alias("n_hit"), F.collect_set("item").alias("items"), F.first("n_words").alias("n_words"))
     held = held.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), "n_hit", "items", "n_words")
     both = near.join(held, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
     none = F.array().cast("array<string>")
