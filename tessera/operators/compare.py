@@ -5,13 +5,15 @@ connector, database, name) and calcs (array of names). Names are folded once for
 (Unicode needs Python there); pairs are then scored with array functions, with the
 character-level ratio as the one vectorised Python step, for pairs whose folded names differ.
 Inventories list datasets, not their rows, so the smaller one is broadcast; its size is
-checked, and a larger one is joined without the hint.
+checked, and a larger one is joined without the hint. ``compare`` scores every pair, as its
+result names every asset's best one however low; clusters only pair assets that can be similar.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+import tempfile
 import unicodedata
 
 import pandas as pd
@@ -321,16 +323,24 @@ def unmatched(right: DataFrame, matches: DataFrame) -> DataFrame:
     return right.join(used, "asset_id", "left_anti")
 
 
-def assign(pairs: DataFrame, candidates: int = 5) -> list[tuple[object, object, float]]:
-    """Greedy one-to-one assignment, highest score first; sequential, so over the few best candidates on the driver."""
-    rows = pairs.where((F.col("rank") <= candidates) & (F.col("score") > 0)).select("l_asset_id", "r_asset_id", "score").collect()
-    left, right, out = set(), set(), []
-    for a, b, s in sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (-r[2], str(r[0]), str(r[1]))):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            out.append((a, b, s))
-    return out
+def assign(pairs: DataFrame) -> DataFrame:
+    """(l_asset_id, r_asset_id, score): greedy one-to-one assignment, highest score first, ties by ids.
+
+    What taking the highest pair again and again gives, a pair that is the best of both its
+    sides is given at once; so each round takes all of those and drops their sides' other
+    pairs, until none is left. Every candidate counts, and nothing is collected.
+    """
+    left = _cut(pairs.where("score > 0").select("l_asset_id", "r_asset_id", "score"))
+    order = [F.desc("score"), "l_asset_id", "r_asset_id"]
+    taken = None
+    while not left.isEmpty():
+        place = {f"__{s}": F.row_number().over(W.partitionBy(f"{s}_asset_id").orderBy(*order)) for s in "lr"}
+        both = _cut(left.withColumns(place).where("__l = 1 AND __r = 1").select("l_asset_id", "r_asset_id", "score"))
+        taken = both if taken is None else taken.unionByName(both)
+        for side in "lr":
+            left = left.join(both.select(f"{side}_asset_id"), f"{side}_asset_id", "left_anti")
+        left = _cut(left.select("l_asset_id", "r_asset_id", "score"))
+    return taken if taken is not None else left
 
 
 def importance(workbooks: Column, dashboards: Column, views: Column, certified: Column) -> tuple[Column, Column]:
@@ -366,14 +376,38 @@ def fingerprint(inventory: DataFrame) -> Column:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage: each round of a loop would add to the plan otherwise."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """The rows without their lineage, in the checkpoint folder that all executors share: each round of a loop would add to the plan otherwise."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
+def _candidates(assets: DataFrame, least: float) -> DataFrame:
+    """(l_asset_id, r_asset_id) of pairs whose weighted column overlap can reach ``least``, which must be above 0.
+
+    Columns are taken in one order, rare ones first. The first column that such a pair shares
+    lies in both assets' heads: those columns from which on the rest still weighs ``least`` of
+    the whole. So only heads meet, and no other pair is made.
+    """
+    if least <= 0:
+        raise ValueError("a threshold that pairs without a shared column can reach needs all pairs")
+    own = assets.select("asset_id", F.explode("w").alias("token", "weight"))
+    own = own.join(own.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    asset = W.partitionBy("asset_id")
+    rest = F.sum("weight").over(asset.orderBy("df", "token").rowsBetween(W.currentRow, W.unboundedFollowing))
+    head = _cut(own.withColumns({"rest": rest, "whole": F.sum("weight").over(asset)}).where(F.col("rest") >= least * F.col("whole") - 1e-9).select("asset_id", "token"))
+    right = head.select(F.col("asset_id").alias("r_asset_id"), "token")
+    return head.withColumnRenamed("asset_id", "l_asset_id").join(right, "token").where("l_asset_id < r_asset_id").select("l_asset_id", "r_asset_id").distinct()
 
 
 def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD) -> DataFrame:
     """(asset_id, fingerprint, cluster_id, size): near-identical assets, through chains of similar ones of any length.
 
-    Equal fingerprints collapse first; representatives are then paired and joined through
+    Equal fingerprints collapse first; representatives that can be similar are then paired and joined through
     minimum labels, which also go to the label's own asset and jump to the label's label, until
     none moves. The cluster's id is its smallest asset id.
     """
@@ -382,7 +416,8 @@ def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD) -> DataF
     reps = base.groupBy("fingerprint").agg(F.min("asset_id").alias("asset_id"))
     chosen = base.join(reps, ["asset_id", "fingerprint"], "left_semi")
     chosen = weighted(chosen, column_weights(chosen))
-    pairs = _side(chosen, "l").join(_side(chosen, "r"), F.col("l_asset_id") < F.col("r_asset_id"))
+    pairs = _candidates(chosen, 1 - (1 - threshold) / CLUSTER_WEIGHTS["column"])
+    pairs = pairs.join(_side(chosen, "l"), "l_asset_id").join(_side(chosen, "r"), "r_asset_id")
     links = score_pairs(pairs, CLUSTER_WEIGHTS).where(F.col("score") >= threshold).select(F.col("l_asset_id").alias("a"), F.col("r_asset_id").alias("b"))
     links = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = _cut(reps.select("asset_id", F.col("asset_id").alias("label")))

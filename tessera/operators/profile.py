@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,24 @@ def column_stats(df: DataFrame, skip: frozenset[str] = frozenset()) -> DataFrame
     return one.select(F.inline(rows))
 
 
+def profile_in_batches(df: DataFrame, batch: int = 50, stats=column_stats) -> tuple[DataFrame, list[str]]:
+    """(profile, columns that failed): column_stats over ``batch`` columns at a time; a batch that fails is split in halves down to the columns at fault."""
+    columns = [f.name for f in df.schema.fields if dtype_of(f.dataType)]
+    todo, done, failed = [columns[i : i + batch] for i in range(0, len(columns), batch)], [], []
+    while todo:
+        part = todo.pop(0)
+        try:
+            done += stats(df.select(*[F.col(f"`{c}`") for c in part])).collect()  # one row a column
+        except PySparkException:
+            half = len(part) // 2
+            if half:
+                todo[:0] = [part[:half], part[half:]]
+            else:
+                failed += part
+    schema = "column string, type string, rows long, non_null long, null_count long, null_rate double, cardinality long, min string, max string, avg double"
+    return df.sparkSession.createDataFrame(done, schema), failed
+
+
 def schema_profile(model: SemanticModel) -> DataFrame:
     """One row for each field and calculation: relation, name, role, type, formula."""
     rows = []

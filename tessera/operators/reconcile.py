@@ -53,6 +53,12 @@ def summarize(results: DataFrame) -> DataFrame:
     return results.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """One row: results, those of each state, and the share of conclusive ones that pass (null if none is)."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    return results.agg(F.count(F.lit(1)).alias("n"), *[n(s).alias(s) for s in ("pass", "fail", "inconclusive")], F.round(F.try_divide(n("pass"), n("pass") + n("fail")), 4).alias("pass_rate"))
+
+
 def against_expected(measured: DataFrame, expected: DataFrame, on: str = "measure", tolerance: float = 1e-6) -> DataFrame:
     """(measure, value, expected, state) of named values; a side without the name makes it inconclusive."""
     a, b = measured.select(on, F.col("value")), expected.select(on, F.col("value").alias("expected"))

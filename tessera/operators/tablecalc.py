@@ -41,6 +41,9 @@ _OVER: dict[str, Callable[[Column], Column]] = {
 }
 
 
+_PAIRS: dict[str, Callable[[Column, Column], Column]] = {"CORR": F.corr, "COVAR": F.covar_samp, "COVARP": F.covar_pop}
+
+
 def _number(node: Node) -> float | int:
     if isinstance(node, Lit) and isinstance(node.value, (int, float)):
         return node.value
@@ -61,9 +64,9 @@ def _bound(node: Node) -> tuple[str, int]:
     return "row", int(_number(node))
 
 
-def _framed(name: str, x: Column, low: tuple[str, int], high: tuple[str, int], at: Addressing) -> Column:
-    """An aggregate over a moving or anchored frame."""
-    build = _OVER[name]
+def _framed(name: str, x: Column, low: tuple[str, int], high: tuple[str, int], at: Addressing, y: Column | None = None, share: float = 0.5) -> Column:
+    """An aggregate over a moving or anchored frame; y: the second measure of a pair, share: that of a percentile."""
+    build = _OVER[name] if name in _OVER else (lambda m: _PAIRS[name](m, y)) if name in _PAIRS else None
     far = (1 << 31) - 1
     if low[0] == high[0] == "row":
         w = at.ordered().rowsBetween(low[1], high[1])
@@ -86,10 +89,11 @@ def _framed(name: str, x: Column, low: tuple[str, int], high: tuple[str, int], a
             inside = inside & (row <= place[high[0]](high[1]))
         x = F.when(inside, x)
         w = at.ordered().rowsBetween(a if a != -far else W.unboundedPreceding, b if b != far else W.unboundedFollowing)
-    if name == "MEDIAN":
+    if name in ("MEDIAN", "PERCENTILE"):  # order statistics have no moving form: the frame's values are sorted
         values = F.array_sort(F.collect_list(x).over(w))
-        n = F.size(values)
-        return F.when(n > 0, (F.element_at(values, ((n + 1) / 2).cast("int")) + F.element_at(values, (n / 2).cast("int") + 1)) / 2)
+        place = (F.size(values) - 1) * F.lit(share)
+        below, above = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+        return F.when(F.size(values) > 0, below + (above - below) * (place - F.floor(place)))
     return build(x).over(w)
 
 
@@ -113,6 +117,24 @@ def rank(kind: str, x: Column, ascending: bool, at: Addressing) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def scope(name: str, rows: list[str], columns: list[str]) -> tuple[list[str], list[str]]:
+    """(partition, address) of an addressing scope over the dimensions on the two shelves, outer ones first.
+
+    Table: all marks, across and then down. Rows: along each row. Columns: down each column.
+    Pane: within the innermost level of both shelves; PaneRow and PaneCol along and down it.
+    Cell: each mark alone. CellInPane: the same cell from pane to pane.
+    """
+    inner_r, inner_c = rows[-1:], columns[-1:]
+    outer = rows[:-1] + columns[:-1]
+    ways = {
+        "Table": ([], rows + columns), "Rows": (rows, columns), "Columns": (columns, rows), "Pane": (outer, inner_r + inner_c),
+        "PaneRow": (rows + columns[:-1], inner_c), "PaneCol": (rows[:-1] + columns, inner_r), "Cell": (rows + columns, []), "CellInPane": (inner_r + inner_c, outer),
+    }
+    if name not in ways:
+        raise Unsupported("missing_addressing_intent", f"scope {name}")
+    return ways[name]
+
+
 def table_calc(node: Call, compile_: Callable[[Node], Typed], at: Addressing, total: Callable[[Node], Typed]) -> Typed:
     """A table-calculation call as a typed Column over the marks."""
     name, args = node.name, node.args
@@ -133,7 +155,7 @@ def table_calc(node: Call, compile_: Callable[[Node], Typed], at: Addressing, to
         n = int(_number(args[1])) if len(args) > 1 else 0
         return Typed(F.lead(x.col, n).over(at.ordered()) if n >= 0 else F.lag(x.col, -n).over(at.ordered()), x.dtype)
     if name == "PREVIOUS_VALUE":
-        raise Unsupported("language_gap", "PREVIOUS_VALUE outside a running fold")
+        raise Unsupported("language_gap", "PREVIOUS_VALUE inside another table calculation")
     if name.startswith("RANK"):
         up = name == "RANK_PERCENTILE"
         if len(args) > 1:
@@ -148,13 +170,19 @@ def table_calc(node: Call, compile_: Callable[[Node], Typed], at: Addressing, to
     if family == "RUNNING":
         return Typed(_OVER[kind](x.col).over(at.ordered().rowsBetween(W.unboundedPreceding, W.currentRow)), gives)
     if kind == "PERCENTILE":
-        if len(args) != 2:
-            raise Unsupported("type_or_shape_mismatch", "WINDOW_PERCENTILE over a frame")
-        return Typed(F.percentile(x.col, F.lit(float(_number(args[1])))).over(at.whole()), "number")
-    if kind in ("CORR", "COVAR", "COVARP"):
+        if len(args) not in (2, 4):
+            raise Unsupported("type_or_shape_mismatch", "WINDOW_PERCENTILE takes a share and, for a frame, two bounds")
+        share = float(_number(args[1]))
+        if len(args) == 4:
+            return Typed(_framed(kind, x.col, _bound(args[2]), _bound(args[3]), at, share=share), "number")
+        return Typed(F.percentile(x.col, F.lit(share)).over(at.whole()), "number")
+    if kind in _PAIRS:
+        if len(args) not in (2, 4):
+            raise Unsupported("type_or_shape_mismatch", f"{name} takes two measures and, for a frame, two bounds")
         y = compile_(args[1])
-        build = {"CORR": F.corr, "COVAR": F.covar_samp, "COVARP": F.covar_pop}[kind]
-        return Typed(build(x.col, y.col).over(at.whole()), "number")
+        if len(args) == 4:
+            return Typed(_framed(kind, x.col, _bound(args[2]), _bound(args[3]), at, y=y.col), "number")
+        return Typed(_PAIRS[kind](x.col, y.col).over(at.whole()), "number")
     if len(args) == 3:
         return Typed(_framed(kind, x.col, _bound(args[1]), _bound(args[2]), at), gives)
     return Typed(_OVER[kind](x.col).over(at.whole()), gives)
@@ -176,6 +204,13 @@ def quick(family: str, x: Column, at: Addressing, periods: int = 1, window: int
     before = F.lag(x, periods).over(w)
     if family == "RUNNING_TOTAL":  # restarts at each partition, so year as partition gives year to date
         return F.sum(x).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    if family == "YTD_GROWTH":  # two passes: year to date in each partition, then against as many periods before
+        so_far = F.sum(x).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+        whole = W.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in at.partition], *[F.col(f"`{c}`").asc_nulls_first() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in at.order])
+        then = F.lag(so_far, periods).over(whole)
+        return divide(so_far - then, then)
+    if family == "WINDOW_TOTAL":
+        return F.sum(x).over(at.whole())
     if family == "MOVING_AVERAGE":
         return F.avg(x).over(w.rowsBetween(1 - window, W.currentRow))
     if family == "DIFFERENCE":

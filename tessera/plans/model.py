@@ -24,12 +24,12 @@ LONGEST_PATH, SEARCH_BUDGET = 4, 20_000
 
 @dataclass(frozen=True)
 class Relationship:
-    """Many side to one side. cardinality: many_to_one, or many_to_many where the target isn't unique."""
+    """Many side to one side, over one column or several. cardinality: many_to_one, or many_to_many where the target isn't unique."""
 
     many: str
-    many_key: str
+    many_key: str | tuple[str, ...]
     one: str
-    one_key: str
+    one_key: str | tuple[str, ...]
     active: bool = True
     cardinality: str = "many_to_one"
 
@@ -51,6 +51,8 @@ class Parameter:
             return spark.createDataFrame(list(self.members), ["value", "label"])
         if self.low is None or self.step is None or self.step <= 0:
             raise Unsupported("model_object_parameter", f"{self.name} has no list or range")
+        if self.high is not None and int((self.high - self.low) / self.step + 1e-9) + 1 > most:
+            raise Unsupported("model_object_parameter", f"the range of {self.name} has more than {most} values")
         high = self.high if self.high is not None else self.low + self.step * (most - 1)
         n = min(most, int((high - self.low) / self.step + 1e-9) + 1)
         grid = spark.range(n).select((F.lit(float(self.low)) + F.col("id") * float(self.step)).alias("value"))
@@ -114,10 +116,13 @@ class SemanticModel:
         self.relations[name] = Relation(name, df, {(captions or {}).get(c, c): c for c in usable}, island)
         return self
 
-    def relate(self, many: str, many_key: str, one: str, one_key: str, active: bool = True, measure: bool = False) -> SemanticModel:
+    def relate(self, many: str, many_key: str | tuple[str, ...], one: str, one_key: str | tuple[str, ...], active: bool = True, measure: bool = False) -> SemanticModel:
         """A relationship; with ``measure`` the one side's uniqueness is checked and recorded."""
         from tessera.operators.relationships import is_unique
 
+        if isinstance(many_key, str) != isinstance(one_key, str) or (not isinstance(many_key, str) and len(many_key) != len(one_key)):
+            raise Unsupported("type_or_shape_mismatch", f"{many} and {one} need as many key columns on either side")
+
         kind = "many_to_one" if not measure or is_unique(self.relations[one].df, one_key) else "many_to_many"
         self.relationships.append(Relationship(many, many_key, one, one_key, active, kind))
         return self
@@ -256,7 +261,8 @@ class SemanticModel:
         df = self._renamed(start, user)
         for e in edges:
             one = self._renamed(e.one, user)
-            df = df.join(one, F.col(f"`{e.many}.{e.many_key}`") == F.col(f"`{e.one}.{e.one_key}`"), "left")
+            pairs = [(e.many_key, e.one_key)] if isinstance(e.many_key, str) else list(zip(e.many_key, e.one_key))
+            df = df.join(one, [F.col(f"`{e.many}.{a}`") == F.col(f"`{e.one}.{b}`") for a, b in pairs], "left")
         return df, start
 
     def _renamed(self, name: str, user: str | None) -> DataFrame:

@@ -22,12 +22,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.aggregates import AGGREGATES, aggregate
 from tessera.functions.scalar import date_part, trunc_date
 from tessera.operators import filters as flt
-from tessera.operators.tablecalc import Addressing, quick, table_calc
+from tessera.operators.tablecalc import Addressing, quick, scope, table_calc
 from tessera.plans.ast import Call, Done, Field, Lod, Node, Param, rewrite, walk
 from tessera.plans.binder import TABLE_CALCS, Compiler, Typed, has_aggregate, has_table_calc, is_measure
 from tessera.plans.errors import Unsupported
@@ -277,9 +278,11 @@ class Query:
         post = [(f, self._split(t, df, keys, hidden)) for f, t in mark_filters]
         one = [c.alias(a) for a, c in hidden.items()] or [F.lit(1).alias(self._fresh("none"))]
         if self.request.get("totals"):
-            if self.side or any(has_table_calc(t) for t in trees):
-                raise Unsupported("unsupported_other", "totals over levels of detail or table calculations")
-            marks = self._totals(df, keys, one)
+            if self.side or any(isinstance(n, Call) and n.name in ("TOTAL", "PREVIOUS_VALUE") for t in trees for n in walk(t)):
+                raise Unsupported("unsupported_other", "totals over levels of detail, TOTAL or PREVIOUS_VALUE")
+            # A total row is a window of its own: table calculations see the detail marks without it.
+            alone = F.when(F.col("totalLevel") > 0, F.to_json(F.struct("totalLevel", *[F.col(f"`{n}`") for n, _ in keys])))
+            marks = self._totals(df, keys, one).withColumn("__total", alone)
         else:
             marks = df.groupBy(*[c.alias(n) for n, c in keys]).agg(*one)
         for side, on in self.side:
@@ -291,6 +294,8 @@ class Query:
         stages: dict[str, Column] = {}
         for o, t in zip(measures, trees):
             at = self._addressing(o.spec, outputs, types)
+            if self.request.get("totals"):
+                at = Addressing((*at.partition, "__total"), at.order)
             x = self._post(t, marks, types, at, df, keys)
             if q := o.spec.get("quickCalc"):
                 options = {k: v for k, v in q.items() if k != "family"} if isinstance(q, dict) else {}
@@ -416,13 +421,57 @@ class Query:
             self.late.append((side, [k for k, _ in kept]))
             return Typed(F.col(name), dtype)
 
+        if any(isinstance(n, Call) and n.name == "PREVIOUS_VALUE" for n in walk(tree)):
+            return self._folded(tree, types, at)
         compiler = Compiler(resolve, self._value, self.model.anchor_column(), special)
         return compiler(tree)
 
+    def _folded(self, tree: Node, types: dict[str, str], at: Addressing) -> Typed:
+        """An expression with PREVIOUS_VALUE: the marks up to each one are folded in order, from its argument at the first.
+
+        A mark's fold reads the marks before it, so the cost is the square of a partition's marks,
+        which are the rows of a view.
+        """
+        calls = [n for n in walk(tree) if isinstance(n, Call) and n.name in TABLE_CALCS]
+        if any(n.name != "PREVIOUS_VALUE" for n in calls) or any(len(n.args) != 1 for n in calls):
+            raise Unsupported("language_gap", "PREVIOUS_VALUE beside other table calculations")
+        used = {n.name: n.dtype for n in walk(tree) if isinstance(n, Done)} | {n.name: types[n.name] for n in walk(tree) if isinstance(n, Field) and n.name in types}
+
+        def compiled(node: Node, item: Column, before: Typed | None) -> Typed:
+            def special(n: Node) -> Typed | None:
+                if isinstance(n, Done):
+                    return Typed(item[n.name], n.dtype)
+                if isinstance(n, Call) and n.name == "PREVIOUS_VALUE":
+                    return before
+                return None
+
+            def resolve(name: str) -> Typed:
+                if name not in types:
+                    raise Unsupported("missing_outer_aggregation", f"[{name}] is no dimension of the view and has no aggregate")
+                return Typed(item[name], types[name])
+
+            return Compiler(resolve, self._value, self.model.anchor_column(), special)(node)
+
+        items = F.struct(*[F.col(f"`{n}`") for n in used], F.lit(1).alias("__one"))
+        begin = compiled(calls[0].args[0], items, None)
+        spark_type = {"number": "double", "text": "string", "bool": "boolean", "date": "timestamp"}.get(begin.dtype, "double")
+
+        def step(acc: Column, item: Column) -> Column:
+            first = compiled(calls[0].args[0], item, None).col.cast(spark_type)
+            value = compiled(tree, item, Typed(F.when(acc["first"], first).otherwise(acc["value"]), begin.dtype))
+            return F.struct(F.lit(False).alias("first"), value.col.cast(spark_type).alias("value"))
+
+        so_far = F.collect_list(items).over(at.ordered().rowsBetween(W.unboundedPreceding, W.currentRow))
+        zero = F.struct(F.lit(True).alias("first"), F.lit(None).cast(spark_type).alias("value"))
+        return Typed(F.aggregate(so_far, zero, step, lambda acc: acc["value"]), begin.dtype)
+
     def _addressing(self, spec: dict, outputs: list[_Output], types: dict[str, str]) -> Addressing:
         dims = [o.name for o in outputs if o.dimension]
         partition = [d for d in spec.get("partition", [])]
         address = spec.get("address")
+        if "scope" in spec:  # over the shelves that the request names
+            partition, address = scope(spec["scope"], list(self.request.get("rows", [])), list(self.request.get("columns", [])))
+            spec = {**spec, "partition": partition}
         if address is None:
             address = [d for d in dims if d not in partition]
         elif "partition" not in spec:
@@ -443,6 +492,8 @@ class Query:
         names = [F.col(f"`{n}`") for n, _ in keys]
         if self.request["totals"] == "rollup":
             return df.rollup(*names).agg(*one, F.grouping_id().alias("totalLevel"))
+        if self.request["totals"] == "cube":
+            return df.cube(*names).agg(*one, F.grouping_id().alias("totalLevel"))
         sets = [[n for n, _ in keys], []]
         return df.groupingSets([[F.col(f"`{n}`") for n in s] for s in sets], *names).agg(*one, F.grouping_id().alias("totalLevel"))
 

@@ -589,10 +589,13 @@ def cmp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_asset_id", "r_asset_id", "name_score", "column_score", "type_score", "source_score", "score", "margin", "reciprocal", "contested", "confidence", cmp.uncertainty().alias("reasons"), cmp.review_category().alias("review"))
 
 
-@query("cmp_assignment", "SELECT * FROM (VALUES ('s1', 'm1'), ('s2', 'm2'), ('s3', 'm3')) t(source, model)")
+@query("cmp_assignment", 'WITH RECURSIVE p AS (SELECT s_suppkey AS l, n_nationkey AS r, round(((s_suppkey * 7919 + n_nationkey * 104729) % 997) / 997.0, 4) AS score FROM supplier, nation WHERE s_suppkey <= 60), o AS (SELECT l, r, score, row_number() OVER (ORDER BY score DESC, l, r) AS i FROM p WHERE score > 0), g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ls, []::BIGINT[] AS rs UNION ALL SELECT o.i, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END FROM g JOIN o ON o.i = g.i + 1), z AS (SELECT ls, rs FROM g ORDER BY i DESC LIMIT 1) SELECT unnest(ls) AS source, unnest(rs) AS model FROM z')
 def cmp_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cmp.compare(*inventories(spark)).where("score >= 0.4")
-    return spark.createDataFrame([(a, b) for a, b, _ in cmp.assign(pairs)], "source string, model string")
+    t = lambda n: readers.table(spark, sf_dir, n)
+    score = F.round(((F.col("s_suppkey") * 7919 + F.col("n_nationkey") * 104729) % 997) / 997.0, 4)
+    pairs = t("supplier").where("s_suppkey <= 60").crossJoin(F.broadcast(t("nation")))  # the nations are 25
+    pairs = pairs.select(F.col("s_suppkey").alias("l_asset_id"), F.col("n_nationkey").alias("r_asset_id"), score.alias("score"))
+    return cmp.assign(pairs).select(F.col("l_asset_id").alias("source"), F.col("r_asset_id").alias("model"))
 
 
 @query("cmp_cluster", "SELECT * FROM (VALUES ('s1', 's1', 2), ('s1copy', 's1', 2), ('s2', 's2', 1), ('s3', 's3', 1), ('s4', 's4', 1)) t(asset_id, cluster_id, size)")
@@ -609,10 +612,11 @@ def cmp_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("c_custkey").alias("k"), score.alias("score"), level.alias("level"))
 
 
-@query("cmp_dependency", "SELECT * FROM (VALUES ('ASIA', 'resolved'), ('nowhere', 'not_found')) t(name, state)")
+@query("cmp_dependency", "WITH i AS (SELECT lower(p_name) AS k, count(*) AS n FROM part GROUP BY 1) SELECT p_name AS name, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS state FROM (SELECT DISTINCT p_name FROM part UNION ALL SELECT r_name FROM region) LEFT JOIN i ON lower(p_name) = k")
 def cmp_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("ASIA",), ("nowhere",)], "name string")
-    return cmp.resolve_dependency(names, readers.table(spark, sf_dir, "region").select(F.col("r_name").alias("name")))
+    part, region = readers.table(spark, sf_dir, "part"), readers.table(spark, sf_dir, "region")
+    names = part.select(F.upper("p_name").alias("u"), "p_name").select(F.col("p_name").alias("name")).distinct().unionByName(region.select(F.col("r_name").alias("name")))
+    return cmp.resolve_dependency(names, part.select(F.upper("p_name").alias("name")))
 
 
 # -- events ------------------------------------------------------------------------------------------
@@ -633,9 +637,11 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(readers.table(spark, sf_dir, "events"))
 
 
-@query("events_json", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1")
+@query("events_json", "SELECT CAST(props->>'$.k' AS BIGINT) % 10 AS k, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1")
 def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ask(spark, sf_dir, [f("event_type"), c("COUNT([event_id])", "n"), c("AVG([value])", "v", 6)])
+    events = readers.table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"] % 10)
+    m = SemanticModel(spark).add("events", events)
+    return run_request(m, {"fields": [f("k"), c("COUNT([event_id])", "n"), c("AVG([value])", "v", 6)]})
 
 
 # -- smaller operators -------------------------------------------------------------------------------
@@ -682,18 +688,17 @@ def pro_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extras.metric(readers.table(spark, sf_dir, "orders"), F.count(F.lit(1)), "o_orderdate", "month", True, 1000.0)
 
 
-@query("cmp_name_sets", "SELECT * FROM (VALUES ('amt_net', 'shared'), ('Order Ref', 'shared'), ('Channel', 'shared'), ('Region', 'shared'), ('Currency', 'right only')) t(name, side)")
+@query("cmp_name_sets", "WITH a AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 20), b AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size > 30) SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'right only' WHEN b.name IS NULL THEN 'left only' ELSE 'shared' END AS side FROM a FULL JOIN b ON a.name = b.name")
 def cmp_name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = inventories(spark)
-    names = lambda df, i: df.where(F.col("asset_id") == i).select(F.explode("fields.name").alias("name"))
-    return extras.name_sets(names(a, "s1"), names(b, "m1"))
+    names = readers.table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), "p_size")
+    return extras.name_sets(names.where("p_size < 20"), names.where("p_size > 30"))
 
 
-@query("cmp_contested", "SELECT 'm1' AS model, 's1,s1b' AS claimed_by")
+@query("cmp_contested", "SELECT o_orderpriority AS model, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS claimed_by FROM orders WHERE o_orderkey % 50 = 0 AND o_orderstatus <> 'F' GROUP BY 1 HAVING count(*) > 1")
 def cmp_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = inventories(spark)
-    a = a.unionByName(a.where("asset_id = 's1'").withColumn("asset_id", F.lit("s1b")))
-    return extras.contested(cmp.best_matches(cmp.compare(a, b)))
+    best = readers.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    verdict = F.when(F.col("o_orderstatus") == "F", "rebuild").otherwise("already_exists")
+    return extras.contested(best.select(F.col("o_orderkey").cast("string").alias("l_asset_id"), F.col("o_orderpriority").alias("r_asset_id"), verdict.alias("bucket")))
 
 
 @query("cmp_priority", "SELECT n_nationkey, CASE WHEN n_nationkey >= 5 THEN 'P1 - migrate first' WHEN n_nationkey >= 2 THEN 'P2 - migrate' WHEN n_nationkey = 1 THEN 'P3 - deprioritize' ELSE 'P4 - retire candidate' END AS priority FROM nation")
@@ -702,30 +707,34 @@ def cmp_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n_nationkey", cmp.migration_priority(F.lit("rebuild"), cmp.usage_priority(F.col("n_nationkey"))).alias("priority"))
 
 
-@query("cmp_date_table", "SELECT 'Date' AS to_table, 'Day' AS to_column, 2 AS n")
+@query("cmp_date_table", 'SELECT o_orderpriority AS to_table, o_orderstatus AS to_column, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1')
 def cmp_date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([("Date", "Day", "date"), ("Date", "Day", "date"), ("Product", "Id", "long"), ("Shift", "At", "datetime")], "to_table string, to_column string, to_type string")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "long").when(F.col("o_orderkey") % 3 == 1, "Date").otherwise("datetime")
+    edges = readers.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("to_table"), F.col("o_orderstatus").alias("to_column"), kind.alias("to_type"))
     return extras.date_table(edges, spark.createDataFrame([], "to_table string"))
 
 
-@query("cmp_rebind_downgrade", "SELECT * FROM (VALUES ('d1', 'convert'), ('d2', 'existing_model'), ('d3', 'consolidate')) t(datasource, action)")
+@query("cmp_rebind_downgrade", "SELECT c_custkey AS datasource, CASE WHEN c_custkey % 3 < 2 AND EXISTS (SELECT 1 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority WHERE a.o_custkey = c_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O') THEN 'convert' WHEN c_custkey % 3 = 0 THEN 'existing_model' WHEN c_custkey % 3 = 1 THEN 'published' ELSE 'consolidate' END AS action FROM customer")
 def cmp_rebind_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = spark.createDataFrame([("d1", "existing_model"), ("d2", "existing_model"), ("d3", "consolidate")], "datasource string, action string")
-    dropped = spark.createDataFrame([("d1", "Calc 1"), ("d2", "Gone"), ("d3", "Bin")], "datasource string, object string")
-    local = spark.createDataFrame([("d1", "Calc 1"), ("d2", "Other"), ("d3", "Bin")], "datasource string, object string")
-    return extras.downgrade_rebinds(plan, dropped, local)
+    t = lambda n: readers.table(spark, sf_dir, n)
+    third = F.col("c_custkey") % 3
+    plan = t("customer").select(F.col("c_custkey").alias("datasource"), F.when(third == 0, "existing_model").when(third == 1, "published").otherwise("consolidate").alias("action"))
+    objects = lambda status: t("orders").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("datasource"), F.col("o_orderpriority").alias("object"))
+    return extras.downgrade_rebinds(plan, objects("F"), objects("O"))
 
 
-@query("cmp_reviews", "SELECT * FROM (VALUES ('reuse', 'agree', 1), ('reuse', 'unreviewed', 1), ('rebuild', 'disagree', 1)) t(verdict, decision, n)")
+@query("cmp_reviews", "SELECT o_orderstatus AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN 'agree' WHEN o_orderkey % 3 = 1 THEN 'disagree' ELSE 'unreviewed' END AS decision, count(*) AS n FROM orders GROUP BY 1, 2")
 def cmp_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = spark.createDataFrame([("a", "reuse"), ("b", "reuse"), ("c", "rebuild")], "asset_id string, verdict string")
-    return extras.review_counts(matches, spark.createDataFrame([("a", "agree"), ("c", "disagree")], "asset_id string, decision string"))
+    orders = readers.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.col("o_orderstatus").alias("verdict"))
+    decided = orders.where("asset_id % 3 < 2").select("asset_id", F.when(F.col("asset_id") % 3 == 0, "agree").otherwise("disagree").alias("decision"))
+    return extras.review_counts(orders, decided)
 
 
-@query("rec_rank_candidates", "SELECT * FROM (VALUES ('exact', 2, 0, 1), ('unknown', 1, 0, 2), ('wrong', 0, 2, 3)) t(candidate, passed, failed, rank)")
+@query("rec_rank_candidates", 'WITH g AS (SELECT l_suppkey AS candidate, count(CASE WHEN l_linenumber < 4 THEN 1 END) AS passed, count(CASE WHEN l_linenumber = 7 THEN 1 END) AS failed, count(*) AS n FROM lineitem GROUP BY 1) SELECT candidate, passed, failed, row_number() OVER (ORDER BY CASE WHEN failed > 0 THEN 3 WHEN passed = n THEN 1 ELSE 2 END, passed DESC, candidate) AS rank FROM g')
 def rec_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("wrong", "fail"), ("wrong", "fail"), ("exact", "pass"), ("exact", "pass"), ("unknown", "pass"), ("unknown", "inconclusive")]
-    return extras.rank_candidates(spark.createDataFrame(rows, "candidate string, state string"))
+    lines = readers.table(spark, sf_dir, "lineitem")
+    state = F.when(F.col("l_linenumber") < 4, "pass").when(F.col("l_linenumber") == 7, "fail").otherwise("inconclusive")
+    return extras.rank_candidates(lines.select(F.col("l_suppkey").alias("candidate"), state.alias("state")))
 
 
 @query("rec_expected", "SELECT * FROM (VALUES ('rows', 25.0, 25.0, 'pass'), ('regions', 5.0, 6.0, 'fail')) t(measure, value, expected, state)")
@@ -753,4 +762,93 @@ def par_list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SemanticModel(spark).parameter("P", "q", members=[("q", "Quantity"), ("p", "Price")]).parameters["P"].domain(spark)
 
 
+@query("join_asof", "WITH v AS (SELECT user_id AS vu, ts AS vt, max(event_id) AS ve FROM events WHERE event_type = 'view' GROUP BY 1, 2), b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT b.event_id, v.ve AS view_id FROM b ASOF LEFT JOIN v ON b.user_id = v.vu AND b.ts >= v.vt")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = readers.table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select(F.col("ts").alias("view_ts"), F.col("user_id").alias("view_user"), F.col("event_id").alias("view_id"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return relationships.asof_join(bought, views, [("user_id", "view_user")], ("ts", "view_ts")).select("event_id", "view_id")
+
+
+@query("join_range", "SELECT p.p_partkey AS k, count(*) AS n FROM part p JOIN (SELECT s_suppkey, s_acctbal AS low, s_acctbal + 25 AS high FROM supplier) s ON p.p_retailprice BETWEEN s.low AND s.high GROUP BY 1")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: readers.table(spark, sf_dir, n)
+    bands = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return relationships.range_join(t("part"), bands, "p_retailprice", "low", "high", 25.0).groupBy(F.col("p_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_composite", "WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem WHERE l_linenumber < 4 GROUP BY 1, 2) SELECT flag, round(sum(q), 2) AS q FROM a LEFT JOIN b USING (l_orderkey, l_linenumber) GROUP BY 1")
+def join_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = readers.table(spark, sf_dir, "lineitem")
+    m = SemanticModel(spark).add("facts", lines.select("l_orderkey", "l_linenumber", "l_quantity"))
+    m.add("flags", lines.where("l_linenumber < 4").groupBy(F.col("l_orderkey").alias("f_order"), F.col("l_linenumber").alias("f_line")).agg(F.min("l_returnflag").alias("l_returnflag")))
+    m.relate("facts", ("l_orderkey", "l_linenumber"), "flags", ("f_order", "f_line"), measure=True)
+    return run_request(m, {"fields": [f("l_returnflag", name="flag"), c("SUM([l_quantity])", "q", 2)]})
+
+
+_YQ = "WITH g AS (SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, sum(o_totalprice) AS s, count(*) AS k FROM orders GROUP BY 1, 2) "
+_YQ_FIELDS = [f("o_orderdate", "YEAR", "y"), f("o_orderdate", "QUARTER", "q")]
+register_request(
+    "win_ytd_growth",
+    [*_YQ_FIELDS, c("SUM([o_totalprice])", "growth", 6, address=["q"], partition=["y"], quickCalc={"family": "YTD_GROWTH", "periods": 4})],
+    _YQ + ", t AS (SELECT y, q, sum(s) OVER (PARTITION BY y ORDER BY q ROWS UNBOUNDED PRECEDING) AS ytd FROM g) SELECT y, q, round((ytd - lag(ytd, 4) OVER (ORDER BY y, q)) / lag(ytd, 4) OVER (ORDER BY y, q), 6) AS growth FROM t",
+)
+register_request(
+    "win_framed",
+    [*_YQ_FIELDS, c("WINDOW_PERCENTILE(SUM([o_totalprice]), 0.25, -3, 0)", "p", 4), c("WINDOW_CORR(SUM([o_totalprice]), COUNT([o_orderkey]), -5, 0)", "r", 6), c("WINDOW_COVARP(SUM([o_totalprice]), COUNT([o_orderkey]), FIRST(), 0)", "cv", 1), c("WINDOW_MEDIAN(COUNT([o_orderkey]), -2, 2)", "m", 2)],
+    _YQ + "SELECT y, q, round(quantile_cont(s, 0.25) OVER (ORDER BY y, q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS p, round(corr(s, k) OVER (ORDER BY y, q ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS r, round(covar_pop(s, k) OVER (ORDER BY y, q ROWS UNBOUNDED PRECEDING), 1) AS cv, round(median(k) OVER (ORDER BY y, q ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 2) AS m FROM g",
+)
+_SCOPES = ("Table", "Rows", "Columns", "Pane", "PaneRow", "PaneCol", "Cell", "CellInPane")
+_OVER_SCOPE = {
+    "Table": "ORDER BY y, q, p, st", "Rows": "PARTITION BY y, q ORDER BY p, st", "Columns": "PARTITION BY p, st ORDER BY y, q", "Pane": "PARTITION BY y, p ORDER BY q, st", "PaneRow": "PARTITION BY y, q, p ORDER BY st", "PaneCol": "PARTITION BY y, p, st ORDER BY q", "Cell": "PARTITION BY y, q, p, st ORDER BY y", "CellInPane": "PARTITION BY q, st ORDER BY y, p",
+}
+register_request(
+    "win_scopes",
+    [*_YQ_FIELDS, f("o_orderpriority", name="p"), f("o_orderstatus", name="st"), *[c("RUNNING_SUM(COUNT([o_orderkey]))", s.lower(), scope=s) for s in _SCOPES if s != "Cell"], c("WINDOW_SUM(COUNT([o_orderkey]))", "cell", scope="Cell")],
+    "WITH g AS (SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderpriority AS p, o_orderstatus AS st, count(*) AS k FROM orders GROUP BY ALL) SELECT y, q, p, st, " + ", ".join(f"sum(k) OVER ({w} ROWS UNBOUNDED PRECEDING) AS {s.lower()}" for s, w in _OVER_SCOPE.items()) + " FROM g",
+    rows=["y", "q"], columns=["p", "st"],
+)
+register_request(
+    "win_previous_formula",
+    [f("o_orderdate", "YEAR", "y"), c("PREVIOUS_VALUE(100) * 0.5 + COUNT([o_orderkey])", "v", 4), c("IF COUNT([o_orderkey]) % 2 = 0 THEN PREVIOUS_VALUE(7) ELSE PREVIOUS_VALUE(7) + 1 END", "w")],
+    "WITH RECURSIVE g AS (SELECT year(o_orderdate) AS y, count(*) AS k FROM orders GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY y) AS i FROM g), r AS (SELECT i, y, CAST(100.0 * 0.5 + k AS DOUBLE) AS v, CAST(7 + k % 2 AS DOUBLE) AS w FROM n WHERE i = 1 UNION ALL SELECT n.i, n.y, r.v * 0.5 + n.k, r.w + n.k % 2 FROM r JOIN n ON n.i = r.i + 1) SELECT y, round(v, 4) AS v, w FROM r",
+)
+register_request(
+    "totals_cube",
+    [f("l_returnflag"), f("l_linestatus"), c("SUM([l_quantity])", "q", 2), c("COUNTD([l_suppkey])", "s")],
+    'SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, count(DISTINCT l_suppkey) AS s, grouping(l_returnflag, l_linestatus) AS "totalLevel" FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)',
+    totals="cube",
+)
+register_request(
+    "totals_table_calc",
+    [f("o_orderdate", "YEAR", "y"), f("o_orderpriority", name="p"), c("COUNT([o_orderkey])", "n"), c("RANK(COUNT([o_orderkey]))", "r", address=["p"], partition=["y"]), c("RUNNING_SUM(COUNT([o_orderkey]))", "rs", address=["y"])],
+    "WITH g AS (SELECT year(o_orderdate) AS y, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2) SELECT y, p, n, rank() OVER (PARTITION BY y ORDER BY n DESC) AS r, sum(n) OVER (PARTITION BY p ORDER BY y ROWS UNBOUNDED PRECEDING) AS rs, 0 AS \"totalLevel\" FROM g UNION ALL SELECT NULL, NULL, (SELECT sum(n) FROM g), 1, (SELECT sum(n) FROM g), 3",
+    totals="grand",
+)
+
+
+@query("verify_verdicts", "WITH r(a, b, c, d) AS (SELECT CAST(p_size AS DOUBLE), CAST(p_size + p_partkey % 7 AS DOUBLE), CAST(p_partkey % 50 AS DOUBLE), CAST(p_partkey % 50 + 3 AS DOUBLE) FROM part) SELECT CASE WHEN greatest(a, c) > least(b, d) THEN 'disjoint' WHEN abs(a - c) <= 0.01 * greatest(abs(a), abs(c)) + 1e-9 AND abs(b - d) <= 0.01 * greatest(abs(b), abs(d)) + 1e-9 THEN 'equal' WHEN a >= c AND b <= d THEN 'subset' WHEN c >= a AND d <= b THEN 'superset' ELSE 'partial' END AS relationship, count(*) AS n FROM r GROUP BY 1")
+def verify_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = readers.table(spark, sf_dir, "part")
+    ends = [F.col("p_size").cast("double"), (F.col("p_size") + F.col("p_partkey") % 7).cast("double"), (F.col("p_partkey") % 50).cast("double"), (F.col("p_partkey") % 50 + 3).cast("double")]
+    return p.groupBy(verify.relationship(*ends, rtol=0.01).alias("relationship")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("reconcile_summary", "WITH s AS (SELECT CASE WHEN l_linenumber < 4 THEN 'pass' WHEN l_linenumber = 7 THEN 'fail' ELSE 'inconclusive' END AS state FROM lineitem) SELECT count(*) AS n, count(CASE WHEN state = 'pass' THEN 1 END) AS pass, count(CASE WHEN state = 'fail' THEN 1 END) AS fail, count(CASE WHEN state = 'inconclusive' THEN 1 END) AS inconclusive, round(count(CASE WHEN state = 'pass' THEN 1 END) / count(CASE WHEN state <> 'inconclusive' THEN 1 END), 4) AS pass_rate FROM s")
+def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("l_linenumber") < 4, "pass").when(F.col("l_linenumber") == 7, "fail").otherwise("inconclusive")
+    return reconcile.summary(readers.table(spark, sf_dir, "lineitem").select(state.alias("state")))
+
+
+@query("cmp_cluster_chain", "WITH RECURSIVE a AS (SELECT o_orderkey // 40 AS g, o_orderkey % 40 AS i FROM orders WHERE o_orderkey < 800 AND o_orderkey % 40 < 38), e AS (SELECT x.g, x.i, y.i AS j FROM a x JOIN a y ON x.g = y.g AND abs(x.i - y.i) = 1), r AS (SELECT g, i, i AS top FROM a UNION SELECT e.g, e.i, r.top FROM r JOIN e ON r.g = e.g AND e.j = r.i), m AS (SELECT g, i, min(top) AS top FROM r GROUP BY 1, 2) SELECT lpad(CAST(g * 40 + i AS VARCHAR), 6, '0') AS asset_id, lpad(CAST(g * 40 + top AS VARCHAR), 6, '0') AS cluster_id, count(*) OVER (PARTITION BY g, top) AS size FROM m")
+def cmp_cluster_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of assets that each share most columns with the next one."""
+    o = readers.table(spark, sf_dir, "orders").where("o_orderkey < 800 AND o_orderkey % 40 < 38").select("o_orderkey", F.floor(F.col("o_orderkey") / 40).alias("g"), (F.col("o_orderkey") % 40).alias("i"))
+    name = lambda k: F.concat(F.lit("col g"), F.col("g").cast("string"), F.lit(" k"), k.cast("string"))
+    fields = F.transform(F.sequence(F.col("i"), F.col("i") + 19), lambda k: F.struct(name(k).alias("name"), F.lit("STRING").alias("type")))
+    table = F.array(F.struct(F.lit("sqlserver").alias("connector"), F.concat(F.lit("db"), F.col("g").cast("string")).alias("database"), F.concat(F.lit("facts"), F.col("g").cast("string")).alias("name")))
+    rows = o.select(F.lpad(F.col("o_orderkey").cast("string"), 6, "0").alias("asset_id"), F.concat(F.lit("Sales "), F.col("g").cast("string")).alias("name"), fields.alias("fields"), table.alias("tables"), F.expr("cast(array() as array<string>)").alias("calcs"))
+    return cmp.cluster(rows, threshold=0.93).select("asset_id", "cluster_id", "size")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "star_model"]

@@ -104,7 +104,7 @@ def test_names(spark):
     "fields,category",
     [
         ([c("SUM([x]) + [x]", "v")], "missing_outer_aggregation"), ([c("SUM(SUM([x]))", "v")], "type_or_shape_mismatch"), ([c("RUNNING_SUM(SUM([x]))", "v")], "missing_addressing_intent"), ([c("SUM([m])", "v")], "type_or_shape_mismatch"), ([c("SUM([x]) + [Parameters].[None]", "v")], "model_object_parameter"),
-        ([c("[nothing]", "v")], "unresolved_reference"), ([c("PREVIOUS_VALUE(1)", "v")], "language_gap"), ([P, c("SUM([x])", "v", address=["m"])], "missing_addressing_intent"), ([c("{INCLUDE [m] : SUM([x])}", "v")], "missing_outer_aggregation"), ([c("MAX({FIXED [p], [m] : AVG({FIXED [p] : SUM([x])})})", "v")], "type_or_shape_mismatch"), ([P, P], "type_or_shape_mismatch"),
+        ([c("[nothing]", "v")], "unresolved_reference"), ([c("PREVIOUS_VALUE(1)", "v")], "missing_addressing_intent"), ([P, c("RUNNING_SUM(PREVIOUS_VALUE(SUM([x])))", "v")], "language_gap"), ([P, c("SUM([x])", "v", scope="Elsewhere")], "missing_addressing_intent"), ([P, c("SUM([x])", "v", address=["m"])], "missing_addressing_intent"), ([c("{INCLUDE [m] : SUM([x])}", "v")], "missing_outer_aggregation"), ([c("MAX({FIXED [p], [m] : AVG({FIXED [p] : SUM([x])})})", "v")], "type_or_shape_mismatch"), ([P, P], "type_or_shape_mismatch"),
     ],
 )
 def test_refusals(model, fields, category):
@@ -119,6 +119,12 @@ def test_paths_keys_and_swaps(model, spark):
     for bad in ([*edges, ("a", "d")], [*edges, ("b", "c")], [("a", "b")]):
         with pytest.raises(Unsupported):
             rel.unique_path(bad, "a", "d")
+    for far in ([*edges, ("a", "p"), ("p", "q"), ("q", "r"), ("r", "t"), ("t", "d")], [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f")]):
+        with pytest.raises(Unsupported):  # a longer second path, and one path that is too long
+            rel.unique_path(far, "a", "f" if len(far) == 5 else "d")
+    with_calendar = [*edges, ("a", "Calendar"), ("d", "Calendar")]
+    assert rel.unique_path(with_calendar, "a", "d", hubs=frozenset({"Calendar"})) == ["a", "b", "c", "d"] and rel.unique_path(with_calendar, "a", "Calendar", hubs=frozenset({"Calendar", "d"})) == ["a", "Calendar"]
+    assert [rel.connection_mix(k) for k in ({"a": "file"}, {"a": "file", "b": "file"}, {"a": "file", "b": "postgres"}, {"a": "postgres", "b": "postgres"}, {"a": "postgres", "b": "mysql"})] == ["single", "several_files", "file_and_live", "single", "several_live"]
     assert rel.forest_edges([("a", "b"), ("b", "c"), ("a", "c")]) == [("a", "b"), ("b", "c")]
     assert rel.looks_like_identity("Orders", "Order_ID") and not rel.looks_like_identity("Orders", "Sales")
     assert rel.cardinality(spark.createDataFrame([(1,), (1,)], "k long"), "t", "k")[0] == "many_to_many" and rel.confidence("measured", True) == "high"

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import compare as cmp
-from tessera.operators import profile, reconcile, verify
+from tessera.operators import profile, reconcile, relationships, verify
+from tessera.plans.errors import Unsupported
 from tessera.plans.model import SemanticModel
 from tessera.queries import inventories
 from tessera.sources import calendar, readers
@@ -111,14 +112,20 @@ def test_names_in_any_script():
 
 def test_assignment_is_one_to_one(spark):
     pairs = cmp.compare(*inventories(spark))
-    got = cmp.assign(pairs)
-    assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got)
+    got = [tuple(r) for r in cmp.assign(pairs).collect()]
+    left, right, want = set(), set(), []
+    for a, b, s in sorted(((r.l_asset_id, r.r_asset_id, r.score) for r in pairs.where("score > 0").collect()), key=lambda r: (-r[2], r[0], r[1])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.append((a, b, s))
+    assert sorted(got) == sorted(want)
     best = cmp.best_matches(pairs)
     assert cmp.rollup(best).agg(F.sum("n")).first()[0] == 4 and [r.asset_id for r in cmp.unmatched(inventories(spark)[1], best).collect()] == ["m4"]
 
 
 def test_ranges_and_verdicts(spark):
-    rows = [(0, 10, 0, 10, "equal"), (2, 5, 0, 10, "subset"), (0, 10, 2, 5, "superset"), (0, 5, 3, 10, "partial"), (0, 1, 2, 3, "disjoint"), (None, 1, 2, 3, "unknown")]
+    rows = [(0.0, 10.0, 0.0, 10.0, "equal"), (2.0, 5.0, 0.0, 10.0, "subset"), (0.0, 10.0, 2.0, 5.0, "superset"), (0.0, 5.0, 3.0, 10.0, "partial"), (0.0, 1.0, 2.0, 3.0, "disjoint"), (None, 1.0, 2.0, 3.0, "unknown")]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, want string")
     assert all(r.got == r.want for r in df.withColumn("got", verify.relationship(*map(F.col, "abcd"), rtol=0.01)).collect())
     assert verify.containment_verdict([("agree", None)]) == ("verified", "equal") and verify.containment_verdict([("directional", "right_ge"), ("agree", None)]) == ("compatible", "subset")
@@ -174,3 +181,32 @@ def test_field_diff(spark):
     r = cmp.field_diff(cmp.compare(left, right), left, right).first()
     assert r.shared == ["Amt", "Order Ref"] and r.left_only == ["Old"] and r.right_only == ["New"] and [tuple(x) for x in r.type_mismatches] == [("Amt", "REAL", "string")]
     assert r.shared_tables == ["orders"] and r.left_only_tables == ["gone"] and r.right_only_tables == ["added"] and r.source_compared
+
+
+def test_asof_join_edges(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9), (5, "a", None), (6, "a", 5)], "id long, k string, at int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("b", 10, "w"), (None, 1, "n"), ("a", None, "m")], "rk string, rat int, v string")
+    got = {r.id: r.v for r in relationships.asof_join(left, right, [("k", "rk")], ("at", "rat")).collect()}
+    assert got == {1: "z", 2: None, 3: None, 4: None, 5: None, 6: "z"}
+    assert relationships.asof_join(left.where("false"), right, [("k", "rk")], ("at", "rat")).count() == 0
+
+
+def test_batched_profile_names_the_columns_at_fault(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1, 2.0, "x"), (3, None, "x")], "a long, b double, c string")
+
+    def shaky(part):
+        if "b" in part.columns:
+            raise PySparkException("no answer")
+        return profile.column_stats(part)
+
+    found, failed = profile.profile_in_batches(df, 3, shaky)
+    assert failed == ["b"] and {r.column: (r.non_null, r.cardinality) for r in found.collect()} == {"a": (2, 2), "c": (2, 1)}
+    whole, none = profile.profile_in_batches(df, 2)
+    assert not none and sorted(map(str, whole.collect())) == sorted(map(str, profile.column_stats(df).collect()))
+
+
+def test_ranges_too_long_are_refused(spark):
+    with pytest.raises(Unsupported):
+        SemanticModel(spark).parameter("P", 1, low=0, high=100_000, step=1).parameters["P"].domain(spark)
