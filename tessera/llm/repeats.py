@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bwt import repeated_starts
-from tessera.llm.common import byte_offsets, materialize, small_batches, utf8_rows
+from tessera.llm.common import byte_offsets, discard, materialize, small_batches, utf8_rows
 from tessera.llm.linedup import SPAN, merge_spans
 
 GRAM, WIDTH = 32, 200
@@ -255,7 +255,7 @@ def covered_chunks(rows: DataFrame, length: int, group_bytes: int, group_rows: i
     """(chunks, spans of different chunks) for the groups as dealt and, where one is too large, as dealt again."""
     out = []
     for step in (*steps, 0):
-        different = materialize(rows.groupBy("key", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.first("data").alias("data")), "different-chunks")
+        different = whole = materialize(rows.groupBy("key", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), F.first("data").alias("data")), "different-chunks")
         large = different.groupBy("key").agg(F.sum(F.length("data")).alias("bytes"), F.count(F.lit(1)).alias("kinds"))
         # Many kinds alone are dealt again once: a finer step multiplies the bytes, and would for chunks of little of them.
         most = group_rows if step == steps[0] else 1 << 62
@@ -266,10 +266,14 @@ def covered_chunks(rows: DataFrame, length: int, group_bytes: int, group_rows: i
             different = different.join(large, "key", "left_anti").select("key", "digest", "n", "data")
         dealt = different.repartition("key").sortWithinPartitions("key")
         found = materialize(dealt.mapInArrow(_search(length), T.StructType([T.StructField("key", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("spans", T.ArrayType(SPAN))])), "covered")
-        out.append((rows, found))
+        # Where a chunk lies is all that is needed later on; its bytes go once they are dealt again.
+        out.append((materialize(rows.select("key", "digest", "th", "tl", "start"), "places"), found))
+        held = rows
+        if again:
+            rows = materialize(_deal_again(rows.join(large, "key", "left_semi").select("key", "digest", "th", "tl", "start", "data"), step, length), "dealt-again")
+        discard(held, whole)
         if not again:
-            break
-        rows = materialize(_deal_again(rows.join(large, "key", "left_semi").select("key", "digest", "th", "tl", "start", "data"), step, length), "dealt-again")
+            return out
     return out
 
 
@@ -292,6 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     marks = marks.join(copies, key).select(*key, "repeated", "rep")
     carried = base.select("doc_id", *key, "text").join(marks.select(*(F.col(c).alias(f"m_{c}") for c in (*key, "rep")), "repeated"), (F.col("th") == F.col("m_th")) & (F.col("tl") == F.col("m_tl")) & F.col("doc_id").eqNullSafe(F.col("m_rep")))
     rows = materialize(_chunk_table(carried.select("th", "tl", "text", "repeated"), length), "chunks")
+    discard(table)
     spans = None
     for held, found in covered_chunks(rows, length, group_bytes, group_rows, steps):
         part = held.select("key", "digest", *key, "start").join(found, ["key", "digest"])
