@@ -11,13 +11,16 @@ result names every asset's best one however low; clusters only pair assets that
 
 from __future__ import annotations
 
+import atexit
 import difflib
 import re
 import tempfile
 import unicodedata
+import uuid
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +88,17 @@ _FOLDED = T.StructType([
 ])
 
 
+def _tell_workers(df: DataFrame) -> None:
+    """Python workers are told where this package lies, in case only the driver's path has it."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{known}:{root}".strip(":")
+
+
 def folded(inventory: DataFrame) -> DataFrame:
     """asset_id and name with their folded forms, one Python pass over the assets."""
+    _tell_workers(inventory)
 
     @F.pandas_udf(_FOLDED)  # type: ignore[call-overload]
     def run(name: pd.Series, fields: pd.Series, tables: pd.Series, calcs: pd.Series) -> pd.DataFrame:
@@ -375,15 +387,36 @@ def fingerprint(inventory: DataFrame) -> Column:
     return F.substring(F.sha1(blob), 1, 12)
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the checkpoint folder that all executors share: each round of a loop would add to the plan otherwise."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+    """The rows without their lineage, as a table in the folder that all executors share: each round of a loop would add to the plan otherwise.
+
+    The folder is spark.checkpoint.dir; only in local mode may it be unset. Tables go when Python ends.
+    """
+    spark = df.sparkSession
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tessera-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for path, spark in _written.items():
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM may have ended first; the cluster's own clean-up then applies
+            return
 
 
 def _candidates(assets: DataFrame, least: float) -> DataFrame:
@@ -412,7 +445,7 @@ def cluster(inventory: DataFrame, threshold: float = CLUSTER_THRESHOLD) -> DataF
     none moves. The cluster's id is its smallest asset id.
     """
     base = folded(inventory)
-    base = base.withColumn("fingerprint", fingerprint(base))
+    base = _cut(base.withColumn("fingerprint", fingerprint(base)))  # names are folded once
     reps = base.groupBy("fingerprint").agg(F.min("asset_id").alias("asset_id"))
     chosen = base.join(reps, ["asset_id", "fingerprint"], "left_semi")
     chosen = weighted(chosen, column_weights(chosen))
