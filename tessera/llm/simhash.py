@@ -14,7 +14,9 @@ Three bits over three-word shingles find few copies with edits: at five-word sim
 fingerprints differ in about ten of 64 bits. ``drop_near_duplicates`` therefore joins sketches:
 three fingerprints over single words and word pairs, which edits change less, traversed with a
 wider budget below a range of 16 bits that agrees, and then a comparison of 256 bits over
-five-word shingles.
+five-word shingles; a crowded node is cut into blocks there, each two of which meet. Bits of a sketch only make a similarity likely, so ``link_similar`` follows:
+texts that no sketch linked meet again by parts of their shingle sets, one of which is the same
+in both whenever the similarity is reached, and parities bound the shingles that differ.
 
 Null and empty texts have fingerprint zero and link to each other. Ids need not be unique;
 null ids take part, and a component's id is the smallest non-null one. Empty tables give
@@ -29,11 +31,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, utf8_rows
+from tessera.llm.common import discard, materialize, utf8_rows
 from tessera.llm.components import components
 
 BITS = 64
@@ -284,6 +286,22 @@ def _deal(rows: DataFrame, ranges: int, node_limit: int) -> list[DataFrame]:
         rows = materialize(rows.select("label", "x.turned", F.xxhash64("node", "x.turn", F.shiftrightunsigned("x.turned", BITS - fixed)).alias("node"), F.lit(fixed).alias("fixed"), *checks), "dealt-again")
 
 
+def _block_pairs(rows: DataFrame, item: str, node_limit: int) -> DataFrame:
+    """Rows whose crowded nodes are cut into blocks, with a node for each two of them (a block with itself too), so that all pairs still meet.
+
+    The low five bits of a node, where ``link_similar`` keeps the family, stay.
+    """
+    crowded = rows.groupBy("node").count().where(F.col("count") > node_limit)
+    if crowded.isEmpty():
+        return rows
+    crowded = materialize(crowded.select("node", F.ceil(2 * F.col("count") / node_limit).alias("blocks")), "crowded")
+    own, other, low = F.pmod(F.xxhash64(item), "blocks"), F.col("other"), F.lit(31).cast("long")
+    split = rows.join(crowded, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    node = F.xxhash64("node", F.least("own", other), F.greatest("own", other)).bitwiseAND(F.lit(-32).cast("long")).bitwiseOR(F.col("node").bitwiseAND(low))
+    split = split.withColumn("node", node).select(*rows.columns)
+    return rows.join(crowded, "node", "left_anti").select(*rows.columns).unionByName(split)
+
+
 def _linked(dealt: list[DataFrame], budget: int, check_budget: int = 0) -> DataFrame:
     checks = len(dealt[0].columns) - 4
     found = [x.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(budget, checks, check_budget), "u long, v long") for x in dealt]
@@ -332,35 +350,99 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
 _ODD = 0x9E3779B97F4A7C15
 
 
-def sketch(text: bytes, known: dict[bytes, int], shingle: int = 5) -> list[int]:
-    """Fingerprints over distinct shingles: three values, each of 48 bits from words or word pairs and 16 from ``shingle`` words, and 256 bits from ``shingle`` words."""
+def _word_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
     words = text.lower().split()
-    if not words:
-        return [0] * (VALUES + CHECKS)
     for w in words:
         if w not in known:
             known[w] = xxhash.xxh64_intdigest(w, seed=42)
-    h = np.array([known[w] for w in words], np.uint64)
-    single, pairs, long = np.unique(h), _shingles(h, 2), _shingles(h, shingle)
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def sketch(text: bytes, known: dict[bytes, int], shingle: int = 5) -> list[int]:
+    """Fingerprints over distinct shingles: three values, each of 48 bits from words or word pairs and 16 from ``shingle`` words, and 256 bits from ``shingle`` words."""
+    h = _word_hashes(text, known)
+    return _sketch(h, _shingles(h, shingle)) if len(h) else [0] * (VALUES + CHECKS)
+
+
+def _sketch(h: np.ndarray, long: np.ndarray) -> list[int]:
+    single, pairs = np.unique(h), _shingles(h, 2)
     low = (1 << 16) - 1
     tail = _majority(_mixed(long, 13))
     values = [_majority(_mixed(single, 1)), _majority(_mixed(single, 2)), _majority(_mixed(pairs, 3))]
     return [v & ~low | (tail >> 16 * k) & low for k, v in enumerate(values)] + [_majority(_mixed(long, 20 + k)) for k in range(CHECKS)]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, th (a hash of the text), sig (a hash of the sketch), v0 to v2 and c0 to c3 of every row."""
+def _most(similarity: float, n: int) -> int:
+    """The most shingles by which a set of n and one so similar to it differ: those of both that only one has."""
+    return math.floor((1 - similarity) / similarity * n + 1e-9)
+
+
+def _parity_bits(family: int) -> int:
+    return max(256, 2 << family)
+
+
+def set_parts(long: np.ndarray, similarity: float) -> tuple[np.ndarray, bytes]:
+    """Parts of a set of shingle hashes (sorted, different), and the parities of their numbers at each place.
+
+    A family (the low five bits of a part) is for sets of up to two to its power; a set that a
+    larger family's set can be so similar to takes part in both. There the hashes are cut by
+    their range into parts, of which a shingle that differs changes one. With at most d that
+    differ, the first part with a hash that is the same in both is among the first d + 1 with a
+    hash of either set; where one has fewer, it gives all its parts, empty ones too, and what
+    agrees in two such sets may be an empty one.
+    """
+    n = len(long)
+    if not n:
+        return np.zeros(0, np.int64), b""
+    most, own = _most(similarity, n), (n - 1).bit_length()
+    families = [own] + [own + 1] * (math.floor(n / similarity + 1e-9) > 1 << own)
+    mixed, out = _mixed(long, 31), []
+    for f in families:
+        count = _most(similarity, 1 << f) * 6 // 5 + 5
+        part = ((long >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums, place = np.add.reduceat(mixed, begins), part[begins]
+        if len(place) <= most:
+            empty = np.setdiff1d(np.arange(count), place)
+            sums, place = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([place, empty])
+        else:
+            sums, place = sums[: most + 1], place[: most + 1]
+        h = _mixed(sums + _mixed(place.astype(np.uint64), 32 + f), 33)
+        out.append(h & ~np.uint64(31) | np.uint64(f))
+    bits = _parity_bits(families[-1])
+    odd = np.bincount((long & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.concatenate(out).view(np.int64), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = None) -> DataFrame:
+    """doc_id, th (a hash of the text), sig (a hash of the sketch), v0 to v2 and c0 to c3 of every row; with a similarity also size (number of shingles), parts and parity."""
     names = [*[f"v{i}" for i in range(VALUES)], *[f"c{i}" for i in range(CHECKS)]]
+    sets = [] if similarity is None else ["size", "parts", "parity"]
 
     def run(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
-            found = np.array([sketch(t, known, shingle) for t in utf8_rows(batch.column(2))], np.uint64).reshape(-1, VALUES + CHECKS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k].copy()) for k in range(VALUES + CHECKS)]], ["doc_id", "th", *names])
+            rows, sizes, parts, parity = [], [], [], []
+            for t in utf8_rows(batch.column(2)):
+                h = _word_hashes(t, known)
+                long = _shingles(h, shingle) if len(h) else h
+                rows.append(_sketch(h, long) if len(h) else [0] * (VALUES + CHECKS))
+                if sets:
+                    found = set_parts(long, similarity)
+                    sizes.append(len(long))
+                    parts.append(found[0])
+                    parity.append(found[1])
+            found = np.array(rows, np.uint64).reshape(-1, VALUES + CHECKS).view(np.int64)
+            columns = [batch.column(0), batch.column(1), *[pa.array(found[:, k].copy()) for k in range(VALUES + CHECKS)]]
+            if sets:
+                ends = np.cumsum([0, *map(len, parts)])
+                columns += [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", *names, *sets])
             if len(known) > 1 << 20:
                 known.clear()
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("th", *names)]])
+    kinds = [T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("th", *names)], *[T.StructField(n, k) for n, k in zip(sets, kinds)]])
     found = docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
     return found.withColumn("sig", F.xxhash64(*names))
 
@@ -377,7 +459,8 @@ def link_sketches(prints: DataFrame, similarity: float = 0.8, budget: int = 10,
     Two sketches link if one of their values agrees in one of its ranges and differs in at most
     ``budget`` bits in all, and if their compared bits differ no more than ``similarity`` makes
     likely. A range of 16 bits agrees in most near copies but in few others, so twelve of them
-    reach what a budget that wide could not if every range of it had to be tried.
+    reach what a budget that wide could not if every range of it had to be tried. A node of more
+    than ``node_limit`` is searched by pairs of blocks.
     """
     width = BITS // ranges
     names = [*[f"v{i}" for i in range(VALUES)], *[f"c{i}" for i in range(CHECKS)]]
@@ -386,7 +469,101 @@ def link_sketches(prints: DataFrame, similarity: float = 0.8, budget: int = 10,
     checks = [f"c{i}" for i in range(CHECKS)]
     rows = distinct.select("sig", F.explode(turns).alias("x"), *checks)
     rows = rows.select(F.col("sig").alias("label"), "x.turned", F.xxhash64("x.turn", F.shiftrightunsigned("x.turned", BITS - width)).alias("node"), F.lit(width).alias("fixed"), *checks)
-    return _linked(_deal(rows, ranges, node_limit), budget, differing_bits(similarity, CHECKS * BITS))
+    return _linked([_block_pairs(rows, "label", node_limit)], budget, differing_bits(similarity, CHECKS * BITS))
+
+
+def _folded(parity: list[bytes], words: int) -> np.ndarray:
+    """Parities at words * 64 places, folded from those at more."""
+    out = np.zeros((len(parity), words), np.uint64)
+    for i, p in enumerate(parity):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, "<u8").reshape(-1, words), axis=0)
+    return out
+
+
+def similar_links(node: np.ndarray, label: np.ndarray, size: np.ndarray, parity: list[bytes], similarity: float, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Links (label, smallest label) of rows of one node whose parities differ no more than sets so similar can.
+
+    Rows are compared in chunks of pairs, and only while their labels are apart.
+    """
+    names, at = np.unique(label, return_inverse=True)
+    forest = _Forest(len(names))
+    ratio = (1 - similarity) / (1 + similarity)
+    for f in np.unique(node & 31):
+        rows = np.flatnonzero((node & 31) == f)
+        rows = rows[np.lexsort((size[rows], node[rows]))]
+        words = _parity_bits(int(f)) // 64
+        bits, own, n, begin = _folded([parity[i] for i in rows], words), at[rows], size[rows], node[rows]
+        rank = np.cumsum(np.concatenate([[0], begin[1:] != begin[:-1]]))
+        wide = int(n.max() / similarity) + 2  # rows of a node in order of size, up to the largest a row can be so similar to
+        partners = np.searchsorted(rank * wide + n, rank * wide + np.floor(n / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(rows)) - 1
+        upto = np.concatenate([[0], np.cumsum(partners)])
+        step, first = max(1, chunk // words), 0  # pairs of rows, numbered by their first row
+        while first < upto[-1]:
+            pair = np.arange(first, min(first + step, upto[-1]))
+            i = np.searchsorted(upto, pair, "right") - 1
+            j = i + 1 + pair - upto[i]
+            apart = forest.label[own[i]] != forest.label[own[j]]
+            i, j = i[apart], j[apart]
+            for part in (slice(0, 4), slice(0, words)):  # 256 bits tell most apart
+                near = _popcount(bits[i, part] ^ bits[j, part]).sum(axis=1, dtype=np.int64) <= np.floor(ratio * (n[i] + n[j]) + 1e-9)
+                i, j = i[near], j[near]
+            forest.link(own[i], own[j])
+            first += step
+    linked = np.flatnonzero(forest.label != np.arange(len(names)))
+    return names[linked], names[forest.label[linked]]
+
+
+def _link_nodes(similarity: float, most: int = 16 << 20):
+    """Of rows (node, label, size, parity) in order of the node: each node's links."""
+
+    def solve(parts):
+        node, label, size = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(3))
+        u, v = similar_links(node, label, size, [x for b in parts for x in b.column(3).to_pylist()], similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches):
+        parts, held = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held + b.nbytes > most:  # whole nodes only
+                node = b.column(0).to_numpy()
+                last = int(np.searchsorted(node, node[-1], "left"))
+                if last:
+                    yield solve([*parts, b.slice(0, last)])
+                    parts, held, b = [], 0, b.slice(last)
+                elif parts and parts[-1].column(0)[-1].as_py() != node[0]:
+                    yield solve(parts)
+                    parts, held = [], 0
+            parts.append(b)
+            held += b.nbytes
+        if parts:
+            yield solve(parts)
+
+    return run
+
+
+def link_similar(prints: DataFrame, roots: DataFrame, similarity: float = 0.8, node_limit: int = 8192) -> DataFrame:
+    """(node, root) as in ``roots``, joined up where texts of different roots have shingle sets of at least ``similarity``.
+
+    No such pair is left out: sets so similar have a part in common (``set_parts``), and parities
+    differ at no more places than shingles do. Parts that one root alone has are dropped before
+    anything is compared, and parts with the same texts are compared once. A part that more than
+    ``node_limit`` texts share is searched by pairs of blocks.
+    """
+    rooted = prints.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("th", F.coalesce("root", "sig").alias("label"), F.explode("parts").alias("part"))
+    w = Window.partitionBy("part")
+    low, high = F.min("label").over(w), F.max("label").over(w)
+    texts = F.xxhash64(F.count(F.lit(1)).over(w), F.min("th").over(w), F.max("th").over(w), F.sum(F.shiftrightunsigned("th", 32)).over(w))
+    shared = rooted.select("th", "label", "part", low.alias("low"), high.alias("high"), texts.alias("texts")).where("low < high")
+    family = F.col("part").bitwiseAND(F.lit(31).cast("long"))
+    shared = materialize(shared.select("th", "label", F.col("texts").bitwiseAND(F.lit(-32).cast("long")).bitwiseOR(family).alias("node")).distinct(), "shared-parts")
+    sets = prints.join(shared.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
+    rows = _block_pairs(shared, "th", node_limit).join(sets, "th").select("node", "label", "size", "parity").repartition("node").sortWithinPartitions("node")
+    more = components(rows.mapInArrow(_link_nodes(similarity), "u long, v long"))
+    discard(shared)
+    further = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, shingle: int = 3, node_limit: int = 200_000) -> DataFrame:
@@ -403,17 +580,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    Groups are components of texts whose ``shingle``-word sketches say they are at least about
-    ``similarity`` alike. Rows without an id rank last; rows that repeat an id are told apart
+    Groups are components of texts whose sets of ``shingle`` words are at least ``similarity``
+    alike, or whose sketches say they are about so. Rows without an id rank last; rows that repeat an id are told apart
     by a hash of their text; of rows equal in both a single one stays.
     """
-    prints = materialize(sketches(docs, id_col, text_col, shingle), "prints")
-    roots = link_sketches(prints, similarity)
+    prints = materialize(sketches(docs, id_col, text_col, shingle, similarity), "prints")
+    roots = link_similar(prints, link_sketches(prints, similarity), similarity)
     rows = prints.groupBy("sig", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")
     first = rows.groupBy("sig").agg(F.min(rank).alias("first")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     keep = first.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     keep = materialize(keep.select(F.col("first.doc_id").alias("__kept"), F.col("first.th").alias("__th"), F.col("first.n").alias("__n")), "kept-rows")
+    discard(prints)
     same = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text_col) == F.col("__th"))
     # Most rows stay, so they are as many as the documents: merged at every size, never broadcast.
     stay = docs.join(keep.where("__n = 1").hint("merge"), same, "left_semi")

@@ -444,6 +444,49 @@ def test_near_copies_are_found_and_clean_texts_stay(spark, sf):
     assert sum(i % 2 == 0 and i not in kept for i, _ in rows) <= 12  # near copies among the table's own texts
 
 
+def test_all_pairs_of_the_similarity_are_linked(spark, vocabulary):
+    """Of texts that stay no two have a five-word similarity of 0.8, whether or not their sketches agree in a range."""
+    rng = random.Random(31)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    rows, groups = [], 150
+    for g in range(groups):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice([5, 9, 14, 25, 40, 64, 65, 90, 129, 260]))]
+        v = list(w)
+        while True:  # edits until one more would go below 0.8
+            k = rng.randrange(len(v))
+            u = [*v[:k], rng.choice(vocabulary), *v[k + rng.randint(0, 1) :]]
+            if alike(shingles(w), shingles(u)) < 0.8:
+                break
+            v = u
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: shingles(t.split()) for i, t in rows}
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(df).select("doc_id").collect())
+    assert not [(a, b) for a in kept for b in kept if a < b and alike(sets[a], sets[b]) >= 0.8]
+    assert kept == list(range(0, 2 * groups, 2))
+    prints = simhash.sketches(df)
+    assert prints.select("sig").distinct().count() - simhash.link_sketches(prints).count() > groups  # sketches alone miss some
+    for n, d in ((1, 0), (4, 0), (9, 2), (16, 2), (18, 4), (300, 66), (1000, 222), (5000, 1110)):  # half of d taken, half put in
+        for _ in range(20):
+            x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+            y = np.unique(np.concatenate([x[rng.sample(range(n), n - d // 2)] if d else x, np.array([rng.getrandbits(64) for _ in range(d // 2)], np.uint64)]))
+            (a, p), (b, q) = simhash.set_parts(x, 0.8), simhash.set_parts(y, 0.8)
+            common = np.intersect1d(a, b)[:1]
+            assert len(common) and len(simhash.similar_links(np.repeat(common, 2), np.array([1, 2]), np.array([len(x), len(y)]), [p, q], 0.8)[0])
+
+
+def test_crowded_nodes_lose_no_link(spark, vocabulary):
+    rng = random.Random(8)
+    w = [rng.choice(vocabulary) for _ in range(200)]
+    texts = [" ".join(rng.choice(vocabulary) if rng.random() < 0.03 else x for x in w) for _ in range(120)]
+    prints = simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), similarity=0.8).localCheckpoint()
+    none = spark.createDataFrame([], "node long, root long")
+    for roots in (lambda limit: simhash.link_sketches(prints, node_limit=limit), lambda limit: simhash.link_similar(prints, none, node_limit=limit)):
+        want = sorted(roots(8192).collect())
+        assert want and sorted(roots(6).collect()) == want
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
