@@ -132,6 +132,25 @@ def test_repeats_of_an_empty_table(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_the_rows_of_a_text_with_many_copies_are_split(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(60)]
+    rows = [(i, texts[i] if i < 60 else texts[0]) for i in range(2000)]
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+        got = {r.doc_id: [tuple(s) for s in r.removed] for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: [] if 0 < i < 60 else [(0, 500)] for i in range(2000)}
+    assert "SortMergeJoin(skew=true)" in plan
+
+
 # -- 3 -----------------------------------------------------------------------------------------
 
 
